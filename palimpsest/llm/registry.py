@@ -48,24 +48,80 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_shingles")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import decontaminate
+
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = "array_sort(array_distinct(transform(overlaps, o -> o.item_id)))"
+    return found.selectExpr("doc_id", "size(overlaps) > 0 contaminated", "cast(size(overlaps) as long) n_overlaps", f"{items} item_ids", "coalesce(array_max(transform(overlaps, o -> o.length)), 0) longest")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm import packing
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import ann
+
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.where("id % 20 = 0"), 20)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import token_counts
+    from public_tokenizers import PATTERN
+
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
+    return out.selectExpr("doc_id", "n_chars", "n_tokens", "n_crossing", "cast(size(sections) as long) n_sections", "transform(sections, s -> s.tokens) section_tokens")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm import pii
 
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import lines
+
+    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l),
+b AS (SELECT k FROM t WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
+r AS (SELECT t.doc_id, count(*) FILTER (WHERE t.k <> '') AS n_lines, count(*) FILTER (WHERE b.k IS NOT NULL) AS n_removed,
+      string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (WHERE b.k IS NULL) AS kept FROM t LEFT JOIN b ON b.k = t.k GROUP BY t.doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_neardup": op2_neardup,
     "op3_substring": op3_substring,
     "op4_packing": op4_packing,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_licenses": op6_licenses,
+    "op7_ann": op7_ann,
+    "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
+    "op10_lines": op10_lines,
 }
-SQL: dict[str, str] = {"op3_substring": OP3_SQL}
-
-
+SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op10_lines": OP10_SQL}

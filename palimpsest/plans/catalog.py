@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ("history",)
+FAMILIES: tuple[str, ...] = ("history", "scans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

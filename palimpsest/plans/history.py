@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.dates import millis
 from palimpsest.operators import history, recurse, state
 from palimpsest.sources.commit_log import MODEL_SQL as M
 from palimpsest.sources.commit_log import CommitLog
@@ -108,7 +109,7 @@ def hist_6(spark: SparkSession, d: str) -> DataFrame:
 
 def hist_7(spark: SparkSession, d: str) -> DataFrame:
     m = CommitLog(spark, d)
-    ts = m.revisions.select("backing", F.col("revid"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("ms"))
+    ts = m.revisions.select("backing", F.col("revid"), millis("ts").alias("ms"))
     live = m.branches.where("not deleted").join(ts.withColumnRenamed("revid", "head"), ["backing", "head"]).groupBy("proot").agg(F.max("ms").alias("modified_ms"))
     made = m.proots.join(ts.where("revid = 0").select("backing", F.col("ms").alias("created_ms")), "backing")
     return made.join(live, "proot", "left").selectExpr("proot", "created_ms", "modified_ms", "proot <> backing is_copy", "if(proot <> backing, backing, null) parent_root")
@@ -250,7 +251,7 @@ SQL = {
     "hist_4_redo_listing": f"{M} SELECT c.proot, c.branch, c.revid, CAST(c.depth AS BIGINT) AS depth FROM chain c JOIN branches b USING (proot, branch) WHERE b.current < b.head AND c.revid > b.current",
     "hist_5_timeline": f"{M} SELECT proot, branch, revid, row_number() OVER (PARTITION BY proot, branch ORDER BY depth DESC) AS position FROM chain",
     "hist_6_first_revisions": f"{M}, {_HIST} SELECT c.proot, c.branch, c.first_revision, l.initial_revision FROM (SELECT proot, branch, arg_max(revid, depth) AS first_revision FROM chain GROUP BY 1, 2) c LEFT JOIN (SELECT proot, branch, min(revid) AS initial_revision FROM listed GROUP BY 1, 2) l USING (proot, branch)",
-    "hist_7_dates": f"{M} SELECT p.proot, epoch_ms(f.ts) AS created_ms, m.modified_ms, p.proot <> p.backing AS is_copy, CASE WHEN p.proot <> p.backing THEN p.backing END AS parent_root FROM proots p JOIN revisions f ON f.backing = p.backing AND f.revid = 0 LEFT JOIN (SELECT b.proot, max(epoch_ms(r.ts)) AS modified_ms FROM branches b JOIN revisions r ON r.backing = b.backing AND r.revid = b.head WHERE NOT b.deleted GROUP BY 1) m ON m.proot = p.proot",
+    "hist_7_dates": f"{M} SELECT p.proot, CAST(round_even(epoch_us(f.ts) / 1000.0, 0) AS BIGINT) AS created_ms, m.modified_ms, p.proot <> p.backing AS is_copy, CASE WHEN p.proot <> p.backing THEN p.backing END AS parent_root FROM proots p JOIN revisions f ON f.backing = p.backing AND f.revid = 0 LEFT JOIN (SELECT b.proot, max(CAST(round_even(epoch_us(r.ts) / 1000.0, 0) AS BIGINT)) AS modified_ms FROM branches b JOIN revisions r ON r.backing = b.backing AND r.revid = b.head WHERE NOT b.deleted GROUP BY 1) m ON m.proot = p.proot",
     "hist_8_undo_redo_revision": f"{M} SELECT b.proot, b.branch, r.parent AS undo_revision, c.revid AS redo_revision FROM branches b JOIN revisions r ON r.backing = b.backing AND r.revid = b.current LEFT JOIN chain c ON c.proot = b.proot AND c.branch = b.branch AND c.parent = b.current",
     "hist_9_previous_next": f"{M} SELECT proot, branch, revid, lag(revid) OVER w AS previous_node, lead(revid) OVER w AS next_node FROM chain WINDOW w AS (PARTITION BY proot, branch ORDER BY depth DESC)",
     "hist_10_set_current": f"{M} SELECT b.proot, b.branch, greatest(b.head - 3, 0) AS new_current, CASE WHEN EXISTS (SELECT 1 FROM chain c WHERE c.proot = b.proot AND c.branch = b.branch AND c.revid = greatest(b.head - 3, 0)) THEN b.head ELSE greatest(b.head - 3, 0) END AS new_head FROM branches b",

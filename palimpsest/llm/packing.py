@@ -17,8 +17,11 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -27,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, OPEN_BINS, GROUP = 2048, 1024, 250_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_000_000
+#: A full stop or comma beside another mark belongs to one piece with it; elsewhere it is a piece of its own.
+_RUN = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
 _state: dict[str, tuple] = {}
 
 
@@ -69,8 +74,9 @@ def word_encoder(path: str):
     """texts -> list of uint32 id arrays, equal to the tokenizer's own; kept per worker process.
 
     Nothing in this tokenizer's pipeline joins characters across ASCII white
-    space (its pieces never contain any), so the ids of a text are those of its
-    chunks; chunks are encoded once and kept, up to a bounded number.
+    space (its pieces never contain any) or letters with marks, and it ignores case,
+    so the ids of a text are those of its chunks; chunks are encoded once and kept,
+    up to a bounded number.
     """
     if path not in _state:
         import json
@@ -89,11 +95,11 @@ def word_encoder(path: str):
     def learn(chunks: set[bytes]) -> None:
         plain, rest = [], []
         for c in chunks:
-            s = c.decode("utf-8", "replace")
-            (plain if s.isalpha() and s.isascii() else rest).append((c, s))
+            s = c.decode("utf-8")
+            (plain if s.isalpha() and (s.isascii() or is_normalized("NFC", s)) else rest).append((c, s))
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
-            ids = np.array(tok.encode(" ".join(s for _, s in part), add_special_tokens=False).ids, "<u2")
+            ids = np.array(tok.encode_batch_fast([" ".join(s for _, s in part)], add_special_tokens=False)[0].ids, "<u2")
             cut = np.flatnonzero(ends[ids]) + 1
             if len(cut) != len(part):
                 rest += part
@@ -104,13 +110,22 @@ def word_encoder(path: str):
                 a = b
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
-            for (c, _), e in zip(part, tok.encode_batch([s for _, s in part], add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u2").tobytes()
+            for (c, _), e in zip(part, tok.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
+                cache[c] = array("H", e.ids).tobytes()
+
+    def cut(text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "replace")
+        if b"<|" in raw:  # may hold a special token, whose letters matter
+            return raw.split()
+        raw = raw.lower()
+        if not _RUN.search(text):
+            raw = raw.replace(b".", b" . ").replace(b",", b" , ")
+        return raw.split()
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         out = []
         for a in range(0, len(texts), 128):
-            chunks = [t.encode("utf-8", "replace").split() for t in texts[a : a + 128]]
+            chunks = [cut(t) for t in texts[a : a + 128]]
             if len(cache) > CACHE_WORDS:
                 cache.clear()
             new = set().union(*chunks).difference(cache)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm._kernels import U64, mix, text_slices
 
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 20, 8, 40, (3, 4, 5)
-MAX_POSITIVE, MAX_NEGATIVE = 2500, 3500
+MAX_POSITIVE, MAX_NEGATIVE = 1600, 2400
 STEPS, RATE, GAIN, GAIN_OUT, DECAY, SEED = 70_000, 0.5, 60.0, 0.5, 4e-3, 7
 #: A bag of fewer features is filled up with zero rows, so that one or two words do not make an extreme average.
 PAD = 300
@@ -99,6 +99,18 @@ def _inv(n: int) -> np.ndarray:
     return powers(_INV, n)
 
 
+def _by_length(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t)
+        if n >= limit:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Fits embeddings and softmax; returns each bucket's contribution to the logit of toxic, and the bias."""
     toxic = np.asarray(toxic, np.float64)
@@ -109,29 +121,33 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     out = np.zeros((2, DIM), np.float32)
     out[1] = rng.uniform(-0.1, 0.1, DIM)
     bias = np.zeros(2)
-    parts, begin = [], 0
+    parts, sizes, begin = [], [], 0
     offset = [0]
-    for i in range(0, len(texts), 256):
-        b, p, fw = features(texts[i : i + 256])
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for some in _by_length(texts):
+        b, p, fw = features(some)
         order = np.argsort(p, kind="stable")
-        parts.append((b[order].astype(np.int32), p[order] + begin))
+        parts.append(b[order].astype(np.int32))
+        sizes.append(np.bincount(p, minlength=int(fw[-1])))
+        of = np.repeat(np.arange(len(some)), np.diff(fw))[p]
+        texts_with += np.bincount(np.unique(of * BUCKETS + b) % BUCKETS, minlength=BUCKETS).astype(np.int32)
         offset.extend(fw[1:] + begin)
         begin += int(fw[-1])
-    feat = np.concatenate([p[0] for p in parts])
-    size = np.bincount(np.concatenate([p[1] for p in parts]), minlength=begin)
+    feat, size = np.concatenate(parts), np.concatenate(sizes)
     del parts
     edge = np.concatenate([[0], np.cumsum(size)])
     offset = np.array(offset)
     docs = np.repeat(np.arange(len(texts)), np.diff(offset))
     epochs = min(150, max(16, STEPS // len(texts)))
-    seen = np.unique(np.repeat(docs, size) * BUCKETS + feat)
-    common = np.bincount(seen % BUCKETS, minlength=BUCKETS) >= MIN_TEXTS
-    del seen
+    common = texts_with >= MIN_TEXTS
     emb[~common] = 0
     for epoch in range(epochs):
         per = emb @ (out[1] - out[0])
-        sums = np.concatenate([[0.0], np.cumsum(per[feat], dtype=np.float64)])
-        logit = (sums[edge[1:]] - sums[edge[:-1]]) / np.maximum(size, PAD)
+        logit = np.zeros(len(size))
+        for w in range(0, len(size), 4096):  # some windows at a time: memory stays bounded
+            v = min(len(size), w + 4096)
+            sums = np.concatenate([[0.0], np.cumsum(per[feat[edge[w] : edge[v]]], dtype=np.float64)])
+            logit[w:v] = (sums[edge[w + 1 : v + 1] - edge[w]] - sums[edge[w:v] - edge[w]]) / np.maximum(size[w:v], PAD)
         noise = 0.0 if epoch else rng.random(len(logit)) * 1e-3
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, docs, logit + noise)

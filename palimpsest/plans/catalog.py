@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ("history", "scans", "merging", "references", "timelines")
+FAMILIES: tuple[str, ...] = ("history", "scans", "merging", "references", "timelines", "exchange")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

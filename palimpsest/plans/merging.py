@@ -160,7 +160,7 @@ def mrg_11(spark: SparkSession, d: str) -> DataFrame:
     """Rebase of a branch's own work onto the trunk: its edits since the fork win over the trunk's state."""
     m = CommitLog(spark, d)
     base, mine, theirs = sides(m)
-    e = D.merged(("target", D.diff(base, mine, K)), ("source", D.diff(base, theirs, K)))
+    e = stored(D.merged(("target", D.diff(base, mine, K)), ("source", D.diff(base, theirs, K))), "edits")
     return D.apply(base, D.favour(e, K, "source"), K).where("attr in ('k', 'kind')").select(*K, "item", "attr", "val")
 
 

@@ -25,7 +25,7 @@ def matches(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
             break
         trail.append(dict(reach))
         for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] <= reach[k + 1]) else reach[k - 1] + 1
+            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
             j = i - k
             while i < len(x) and j < len(y) and x[i] == y[j]:
                 i, j = i + 1, j + 1
@@ -36,7 +36,7 @@ def matches(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     i, j, middle = len(x), len(y), []
     for d in range(len(trail) - 1, -1, -1):
         v, k = trail[d], i - j
-        before = k + 1 if k == -d or (k != d and v[k - 1] <= v[k + 1]) else k - 1
+        before = k + 1 if k == -d or (k != d and v[k - 1] < v[k + 1]) else k - 1
         pi = v[before] if d else 0
         pj = pi - before if d else 0
         start_i = (pi if before == k + 1 else pi + 1) if d else 0

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.storage import stored
+
 #: A delta is written while the parent's run began fewer revisions ago than this (the reference value of the model).
 MAX_DELTA = 50
 
@@ -65,9 +67,15 @@ class Store:
 
 
 def delta_layout(revisions: DataFrame, max_delta: int = MAX_DELTA) -> DataFrame:
-    """Which revisions are full snapshots: those without a parent or whose run would reach the bound.
+    """(backing, revid, delta_base): a revision joins its parent's run while that began fewer than max_delta numbers ago, else it is a snapshot.
 
-    Runs are counted in revision numbers of the backing store along numbers, so the layout of a log that is
-    written in order is every max_delta-th number after the first.
+    Level by level from the revisions without parent; each level is written, so lost executors repeat one level at most.
     """
-    return revisions.select("backing", "revid", (F.col("parent").isNull() | (F.col("revid") % max_delta == 0)).alias("is_snapshot"))
+    child = revisions.where("parent is not null").select(F.col("backing").alias("b"), F.col("parent").alias("p"), F.col("revid").alias("c"))
+    level = stored(revisions.where("parent is null").select("backing", "revid", F.col("revid").alias("delta_base")), "run")
+    out = None
+    while not level.isEmpty():
+        out = level if out is None else out.unionByName(level)
+        step = level.join(child, (F.col("backing") == F.col("b")) & (F.col("revid") == F.col("p")))
+        level = stored(step.selectExpr("backing", "c revid", f"if(c - delta_base < {max_delta}, delta_base, c) delta_base"), "run")
+    return level if out is None else out

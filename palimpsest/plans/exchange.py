@@ -105,7 +105,7 @@ def cod_5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snk_1(spark: SparkSession, d: str) -> DataFrame:
-    return delta_layout(CommitLog(spark, d).revisions)
+    return delta_layout(CommitLog(spark, d).revisions, 20)
 
 
 def exp_1(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +177,7 @@ SQL = {
     "sync_6_payloads": f"{M} SELECT backing, revid, rev, parent, item, k FROM revisions",
     "sync_7_change_feed": "SELECT proot, txn, seq FROM (SELECT user_id AS proot, CAST(trunc(value) AS BIGINT) AS txn, event_id AS seq, max(CAST(trunc(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events) WHERE last IS NULL OR txn > last",
     "cod_3_json_rows": f"{M} SELECT backing, revid, 'count' AS attr, 'int' AS type, CAST(k AS VARCHAR) AS val FROM revisions UNION ALL SELECT backing, revid, 'kind', 'string', branch FROM revisions",
-    "snk_1_delta_layout": f"{M} SELECT backing, revid, parent IS NULL OR revid % 50 = 0 AS is_snapshot FROM revisions",
+    "snk_1_delta_layout": f"{M}, run AS (SELECT backing, revid, revid AS delta_base FROM revisions WHERE parent IS NULL UNION ALL SELECT r.backing, r.revid, CASE WHEN r.revid - run.delta_base < 20 THEN run.delta_base ELSE r.revid END FROM run JOIN revisions r ON r.backing = run.backing AND r.parent = run.revid) SELECT * FROM run",
     "exp_1_dot_graph": f"{M} SELECT backing, 'r' || revid || ' -> r' || parent || ';' AS line FROM revisions WHERE parent IS NOT NULL UNION ALL SELECT backing, 'r' || revid || ' -> r' || merge_parent || ' [color=orange];' FROM revisions WHERE merge_parent IS NOT NULL",
     "txt_2_attributed_text": "SELECT p_partkey, p_name || '! ' || lower(p_type) AS text, TRUE AS ok FROM part",
     "txt_4_chunks": "WITH c AS (SELECT conv_id, turn, role, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS brk FROM conversations WHERE text IS NOT NULL), i AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM c), r AS (SELECT conv_id, island, sum(n) AS run, max(start + n) AS e FROM i GROUP BY 1, 2) SELECT conv_id, CAST(max(run) AS BIGINT) AS longest_run, CAST(max(e) AS BIGINT) AS n_chars FROM r GROUP BY 1",

@@ -156,17 +156,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, lost executors don't matter."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, lost executors don't matter.
+
+    The shuffle files of the write go when it ends, so a chain of steps needs the disk of its largest step only.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished steps (they stay until the driver's JVM collects garbage)."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get, where the session has the defaults (long texts make 10,000 rows too many)."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)

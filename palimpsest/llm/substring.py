@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._kernels import IDENTITY, SPACE_WORD, U64, Words, grams, release, stored, text_slices
+from palimpsest.llm._kernels import IDENTITY, SPACE_WORD, U64, Words, grams, small_batches, stored, text_slices
 
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Bytes of text per bucket: bounds what one task sorts at once.
-BUCKET_TEXT = 32 << 20
+BUCKET_TEXT = 16 << 20
 #: kind 0: entries for a bucket; 1: resolved places of a slice; 2: documents of a slice.
 _ROWS = "key long, kind byte, slice string, payload binary"
 _NAMES = ["key", "kind", "slice", "payload"]
@@ -227,7 +227,7 @@ def _extend(buckets: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         n_words, n_removed, kept = [], [], []
         for text, at in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -246,18 +246,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept: documents without the words that repeat earlier documents."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     src = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) text_hash", "cast(text as string) text")
     known = src.where("doc_id is not null and text is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_TEXT))
     hits = _resolved(known.mapInArrow(_probe(buckets), _ROWS), _pick_hits, "anchors")
-    release(spark)
     n = hits.agg(F.sum(F.octet_length("at") / 4)).first()[0] or 0
     more = max(1, -(-int(n) // 1_500_000))
     one = hits.groupBy("doc_id", "text_hash").agg(F.max("at").alias("at"))
     repeats = _resolved(known.join(one, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at").mapInArrow(_extend(more), _ROWS), _pick_repeats, "repeats")
-    release(spark)
     gone = repeats.groupBy("doc_id", "text_hash").agg(F.max("at").alias("at"))
     out = src.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "at")
     return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.recurse import chains, closure, levels, parents
@@ -35,28 +34,22 @@ def branch_history(paths: DataFrame, revisions: DataFrame, parent_branches: bool
 
 
 def divergent_history(revisions: DataFrame, branches: DataFrame, parent_branches: bool = True) -> DataFrame:
-    """The listing with divergent revisions: an ordered fold per branch over its log, from its newest revision down."""
-    r = revisions.select("backing", "revid", "parent", F.col("branch").alias("on_branch"))
-    log = branches.select("proot", "branch", "backing").join(r, "backing")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["branch"].iloc[0]
-        own = pdf.loc[pdf["on_branch"] == name, "revid"]
-        keep: list[int] = []
-        if len(own):
-            visited, parent = name, -1
-            rows = pdf[pdf["revid"] <= own.max()].sort_values("revid", ascending=False)
-            for revid, up, on in zip(rows["revid"], rows["parent"], rows["on_branch"], strict=True):
-                valid, is_parent = on == visited, revid == parent
-                if not (valid or is_parent):
-                    continue
-                if not valid and not parent_branches:
-                    break
-                keep.append(revid)
-                parent, visited = (-1 if pd.isna(up) else int(up)), on
-        return pd.DataFrame({"proot": pdf["proot"].iloc[0], "branch": name, "revid": keep}, columns=["proot", "branch", "revid"])
-
-    return log.groupBy("proot", "branch").applyInPandas(fold, "proot long, branch string, revid long")
+    """The listing with divergent revisions, from a branch's newest revision down.
+
+    The row after x is the next lower one that is either on x's branch or x's parent,
+    so the listing is a chain along greatest(previous on the branch, parent) and needs no
+    ordered scan of a whole log. Without parent_branches it ends before the first row of
+    another branch.
+    """
+    before = F.lag("revid").over(Window.partitionBy("backing", "branch").orderBy("revid"))
+    linked = revisions.select("backing", "revid", "branch", "parent", before.alias("before")).select("backing", "revid", "branch", F.greatest("before", "parent").alias("parent"))
+    newest = revisions.groupBy("backing", "branch").agg(F.max("revid").alias("start"))
+    paths = chains(linked.select("backing", "revid", "parent"), branches.select("proot", "branch", "backing").join(newest, ["backing", "branch"]))
+    if not parent_branches:
+        on = linked.select("backing", "revid", F.col("branch").alias("on_branch"))
+        stop = paths.join(on, ["backing", "revid"]).where("on_branch <> branch").groupBy("proot", "branch").agg(F.min("depth").alias("stop"))
+        paths = paths.join(stop, ["proot", "branch"], "left").where("stop is null or depth < stop")
+    return paths.select("proot", "branch", "revid")
 
 
 def ancestors(revisions: DataFrame, starts: DataFrame) -> DataFrame:

@@ -52,6 +52,16 @@ def sync_4(spark: SparkSession, d: str) -> DataFrame:
     return m.branches.join(main, "proot").join(on, ["proot", "branch", "server"], "left").select("proot", "branch", F.when(F.col("yes"), "fast-forward").otherwise("rebase").alias("action"))
 
 
+def sync_5(spark: SparkSession, d: str) -> DataFrame:
+    """What the server sends back for each pushed branch: the revisions of the trunk since the fork, in order, which the client rebases onto."""
+    m = CommitLog(spark, d)
+    trunk = m.proots.select("proot", F.col("current_branch").alias("t"))
+    paths = history.head_paths(m.revisions, m.branches).join(trunk, "proot")
+    main = paths.where("branch = t").select("proot", "revid")
+    fork = paths.where("branch <> t").select("proot", "branch", "revid").join(main, ["proot", "revid"]).groupBy("proot", "branch").agg(F.max("revid").alias("base"))
+    return fork.join(main, "proot").where("revid > base").select("proot", "branch", "base", "revid")
+
+
 def sync_6(spark: SparkSession, d: str) -> DataFrame:
     """Revision payloads as JSON and back."""
     r = CommitLog(spark, d).revisions
@@ -165,7 +175,7 @@ def txt_4(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "sync_1_pull_request": sync_1, "sync_2_pull_response": sync_2, "sync_3_apply_response": sync_3, "sync_4_push_action": sync_4, "sync_6_payloads": sync_6, "sync_7_change_feed": sync_7,
+    "sync_1_pull_request": sync_1, "sync_2_pull_response": sync_2, "sync_3_apply_response": sync_3, "sync_4_push_action": sync_4, "sync_5_push_response": sync_5, "sync_6_payloads": sync_6, "sync_7_change_feed": sync_7,
     "cod_1_binary_round_trip": cod_1, "cod_3_json_rows": cod_3, "cod_5_tree_json": cod_5, "snk_1_delta_layout": snk_1, "exp_1_dot_graph": exp_1, "txt_1_text_diff": txt_1, "txt_2_attributed_text": txt_2, "txt_4_chunks": txt_4,
 }
 _C = "edges AS (SELECT backing, revid AS src, parent AS dst FROM revisions WHERE parent IS NOT NULL UNION SELECT backing, revid, merge_parent FROM revisions WHERE merge_parent IS NOT NULL)"
@@ -174,6 +184,7 @@ SQL = {
     "sync_2_pull_response": f"{M}, {_C}, ca AS (SELECT backing, current AS node FROM own WHERE NOT deleted UNION SELECT c.backing, e.dst FROM ca c JOIN edges e ON e.backing = c.backing AND e.src = c.node), ch AS (SELECT o.backing, o.current AS node FROM own o JOIN trunk t ON t.proot = o.proot AND t.branch = o.branch WHERE NOT o.deleted UNION SELECT c.backing, e.dst FROM ch c JOIN edges e ON e.backing = c.backing AND e.src = c.node) SELECT * FROM ca EXCEPT SELECT * FROM ch",
     "sync_3_apply_response": f"{M}, b AS (SELECT * FROM branches WHERE NOT deleted) SELECT proot, branch, CASE WHEN head % 3 = 0 THEN 'new' ELSE 'old' END AS state, CASE WHEN head % 3 = 0 THEN head ELSE head - 1 END AS at FROM b WHERE head % 3 = 0 OR head % 2 = 0",
     "sync_4_push_action": f"{M} SELECT b.proot, b.branch, CASE WHEN EXISTS (SELECT 1 FROM chain c WHERE c.proot = b.proot AND c.branch = b.branch AND c.revid = t.head) THEN 'fast-forward' ELSE 'rebase' END AS action FROM branches b JOIN proots p ON p.proot = b.proot JOIN branches t ON t.proot = p.proot AND t.branch = p.current_branch",
+    "sync_5_push_response": f"{M}, main AS (SELECT c.proot, c.revid FROM chain c JOIN proots p ON p.proot = c.proot AND p.current_branch = c.branch), fork AS (SELECT c.proot, c.branch, max(c.revid) AS base FROM chain c JOIN proots p ON p.proot = c.proot AND p.current_branch <> c.branch JOIN main ON main.proot = c.proot AND main.revid = c.revid GROUP BY 1, 2) SELECT f.proot, f.branch, f.base, m.revid FROM fork f JOIN main m ON m.proot = f.proot AND m.revid > f.base",
     "sync_6_payloads": f"{M} SELECT backing, revid, rev, parent, item, k FROM revisions",
     "sync_7_change_feed": "SELECT proot, txn, seq FROM (SELECT user_id AS proot, CAST(trunc(value) AS BIGINT) AS txn, event_id AS seq, max(CAST(trunc(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events) WHERE last IS NULL OR txn > last",
     "cod_3_json_rows": f"{M} SELECT backing, revid, 'count' AS attr, 'int' AS type, CAST(k AS VARCHAR) AS val FROM revisions UNION ALL SELECT backing, revid, 'kind', 'string', branch FROM revisions",

@@ -229,6 +229,8 @@ _PAIR = "pairs AS (SELECT o.backing, t.head AS a, o.head AS b FROM own o JOIN tr
 _HIST = "onb AS (SELECT c.*, r.branch AS on_branch FROM chain c JOIN revisions r ON r.backing = c.backing AND r.revid = c.revid), stops AS (SELECT proot, branch, min(depth) AS stop FROM onb WHERE on_branch <> branch GROUP BY 1, 2), listed AS (SELECT o.proot, o.branch, o.revid, o.parent FROM onb o LEFT JOIN stops s ON s.proot = o.proot AND s.branch = o.branch WHERE s.stop IS NULL OR o.depth < s.stop)"
 _LEVELS = "edges AS (SELECT backing, revid AS src, parent AS dst FROM revisions WHERE parent IS NOT NULL UNION SELECT backing, revid, merge_parent FROM revisions WHERE merge_parent IS NOT NULL), lv AS (SELECT backing, revid AS node, 0 AS level FROM revisions UNION SELECT l.backing, e.src, l.level + 1 FROM lv l JOIN edges e ON e.backing = l.backing AND e.dst = l.node), topo AS (SELECT backing, node, CAST(max(level) AS BIGINT) AS level FROM lv GROUP BY 1, 2)"
 
+_LINK = "lk AS (SELECT backing, revid, branch, greatest(lag(revid) OVER (PARTITION BY backing, branch ORDER BY revid), parent) AS nxt FROM revisions), nw AS (SELECT backing, branch, max(revid) AS start FROM revisions GROUP BY 1, 2), dv AS (SELECT b.proot, b.branch, b.backing, lk.revid, lk.nxt, lk.branch AS on_branch FROM branches b JOIN nw ON nw.backing = b.backing AND nw.branch = b.branch JOIN lk ON lk.backing = nw.backing AND lk.revid = nw.start UNION ALL SELECT d.proot, d.branch, d.backing, lk.revid, lk.nxt, lk.branch FROM dv d JOIN lk ON lk.backing = d.backing AND lk.revid = d.nxt)"
+
 QUERIES = {
     "snap_1_state_at_head": snap_1, "snap_2_delta_since_base": snap_2, "snap_3_state_at_current": snap_3, "snap_4_overlay": snap_4, "snap_5_insert_or_update": snap_5,
     "snap_6_graph_equality": snap_6, "snap_7_linear_chain": snap_7, "snap_8_changed_items": snap_8,
@@ -258,6 +260,9 @@ SQL = {
     "hist_11_commit_effect": f"{M}, w AS (SELECT *, lag(revid) OVER (PARTITION BY backing, branch ORDER BY revid) AS old_head FROM revisions) SELECT backing, branch, revid AS new_head, old_head, coalesce(old_head <> parent, FALSE) AS leaves_divergent FROM w",
     "hist_12_branch_points": f"{M} SELECT proot, branch, count(*) AS allowed_starts, max(revid) AS newest_start FROM chain GROUP BY 1, 2",
     "dag_1_ancestors": f"{M}, {_CLOSE} SELECT backing, start, count(*) AS n_ancestors, CAST(sum(node) AS BIGINT) AS sum_ancestors FROM closed GROUP BY 1, 2",
+    "hist_3_divergent": f"{M}, {_LINK} SELECT proot, branch, revid FROM dv",
+    "hist_3_divergent_only": f"{M}, {_LINK}, st AS (SELECT proot, branch, max(revid) AS stop FROM dv WHERE on_branch <> branch GROUP BY 1, 2) SELECT dv.proot, dv.branch, dv.revid FROM dv LEFT JOIN st USING (proot, branch) WHERE st.stop IS NULL OR dv.revid > st.stop",
+    "dag_2_common_ancestor": f"{M}, {_PAIR}, edges AS (SELECT backing, revid AS src, parent AS dst, '0' AS turn FROM revisions WHERE parent IS NOT NULL UNION ALL SELECT backing, revid, merge_parent, '1' FROM revisions WHERE merge_parent IS NOT NULL), ca AS (SELECT DISTINCT backing, a, a AS node FROM pairs UNION SELECT c.backing, c.a, e.dst FROM ca c JOIN edges e ON e.backing = c.backing AND e.src = c.node), bfs AS (SELECT backing, a, b, b AS node, '' AS path FROM pairs UNION ALL SELECT x.backing, x.a, x.b, e.dst, x.path || e.turn FROM bfs x JOIN edges e ON e.backing = x.backing AND e.src = x.node), hit AS (SELECT x.backing, x.a, x.b, x.node, row_number() OVER (PARTITION BY x.backing, x.a, x.b ORDER BY length(x.path), x.path) AS n FROM bfs x JOIN ca ON ca.backing = x.backing AND ca.a = x.a AND ca.node = x.node) SELECT p.backing, p.a, p.b, h.node AS ancestor FROM pairs p LEFT JOIN hit h ON h.backing = p.backing AND h.a = p.a AND h.b = p.b AND h.n = 1",
     "dag_3_is_ancestor": f"{M}, {_PAIR} SELECT p.backing, p.a, p.b, EXISTS (SELECT 1 FROM chain c WHERE c.proot = p.backing AND c.backing = p.backing AND c.revid = p.a AND EXISTS (SELECT 1 FROM own o WHERE o.proot = c.proot AND o.branch = c.branch AND o.head = p.b)) AS is_ancestor FROM pairs p",
     "dag_4_path": f"{M}, h AS (SELECT c.*, o.head FROM chain c JOIN own o ON o.proot = c.proot AND o.branch = c.branch) SELECT h.backing, f.revid AS begin, h.head AS stop, h.revid, CAST(3 - h.depth AS BIGINT) AS position FROM h JOIN h f ON f.proot = h.proot AND f.branch = h.branch AND f.depth = 4 WHERE h.depth < 4",
     "dag_5_missing_revisions": f"{M}, {_CLOSE}, known AS (SELECT c.backing, c.node FROM closed c JOIN trunk t ON t.proot = c.backing JOIN own o ON o.proot = t.proot AND o.branch = t.branch AND o.head = c.start) SELECT DISTINCT backing, node FROM closed EXCEPT SELECT backing, node FROM known",

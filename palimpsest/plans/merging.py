@@ -224,6 +224,8 @@ SQL = {
     "mrg_7_favour_source": f"{_E} SELECT proot, branch, item, attr, source, kind, val, vals FROM resolved",
     "mrg_8_remove_edits": f"{_E} SELECT attr, conflict, count(*) AS n_pairs FROM conf WHERE attr <> 'k' GROUP BY 1, 2",
     "mrg_9_three_way": f"{_E}, {_PUT} SELECT proot, branch, item, attr, coalesce(rt, bt) AS type, CASE WHEN kind = 'set' THEN rv ELSE bv END AS val FROM done WHERE kind IS DISTINCT FROM 'delete'",
+    "mrg_10_selective_undo": f"{M}, n0 AS (SELECT c.proot, c.branch, c.depth, r.item, r.k, r.branch AS kind FROM chain c JOIN revisions r ON r.backing = c.backing AND r.revid = c.revid JOIN branches b ON b.proot = c.proot AND b.branch = c.branch JOIN revisions h ON h.backing = b.backing AND h.revid = b.head WHERE h.parent IS NOT NULL), a AS (SELECT proot, branch, item, arg_min(k, depth) AS k, arg_min(kind, depth) AS kind FROM n0 GROUP BY 1, 2, 3), b AS (SELECT proot, branch, item, arg_min(k, depth) AS k, arg_min(kind, depth) AS kind FROM n0 WHERE depth > 0 GROUP BY 1, 2, 3), u AS (SELECT proot, branch, item, coalesce(b.k, a.k) AS k, coalesce(b.kind, a.kind) AS kind FROM a FULL JOIN b USING (proot, branch, item)) SELECT proot, branch, item, 'k' AS attr, CAST(k AS VARCHAR) AS val FROM u UNION ALL SELECT proot, branch, item, 'kind', kind FROM u",
+    "cpy_1_copy_subgraph": f"{M}, st AS (SELECT c.proot, r.item, arg_min(r.k, c.depth) AS k FROM chain c JOIN proots p ON p.proot = c.proot AND p.current_branch = c.branch JOIN revisions r ON r.backing = c.backing AND r.revid = c.revid GROUP BY 1, 2), part AS (SELECT p.proot, r.item FROM proots p JOIN revisions r ON r.backing = p.backing AND r.revid = 0 UNION SELECT x.proot, (s.k * 3 + 1) % 20 FROM part x JOIN st s ON s.proot = x.proot AND s.item = x.item WHERE s.k % 3 = 0) SELECT st.proot, st.item, st.k, sha1(st.proot || '/' || st.item || '/copy') AS new_item FROM part JOIN st USING (proot, item)",
     "mrg_11_rebase": f"{_E}, {_PUT} SELECT proot, branch, item, attr, CASE WHEN kind = 'set' THEN rv ELSE bv END AS val FROM done WHERE attr <> 'extra' AND kind IS DISTINCT FROM 'delete'",
 }
 SQL = {k: q.replace("source = '{}'", "source = 'other'" if k == "mrg_11_rebase" else "source = 'self'") for k, q in SQL.items()}

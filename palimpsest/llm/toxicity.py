@@ -10,8 +10,8 @@ descent on the highest window of each labelled document.  Unseen spellings
 share n-gram rows with seen ones.
 
 Training reads at most ``MAX_POSITIVE`` + ``MAX_NEGATIVE`` labelled documents
-(those with the smallest hash of their id; a documented bound) and happens on
-the driver; scoring is one scan without a shuffle.  Since the softmax is linear,
+(those with the smallest hash of their id; a documented bound) and is one
+task; scoring is one scan without a shuffle.  Since the softmax is linear,
 only one number per bucket (``BUCKETS`` * 4 bytes) goes to the executors.
 
 Edge cases: null, empty and word-less texts have the score of an empty bag (the
@@ -196,29 +196,31 @@ def held_out(doc_id: object) -> object:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The bounded sample of labelled texts."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the bounded sample of labelled texts."""
     keyed = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     pick = keyed.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE).unionByName(keyed.where("toxic = 0").orderBy(order, "doc_id").limit(MAX_NEGATIVE))
-    ids = {r.doc_id: r.toxic for r in pick.collect()}
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids] or [(None,)], "doc_id long")
-    rows = docs.where("text is not null").join(F.broadcast(wanted), "doc_id").select("doc_id", "text").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    seen, texts, y = set(), [], []
-    for r in rows:
-        if r.doc_id not in seen:
-            seen.add(r.doc_id)
-            texts.append(r.text)
-            y.append(ids[r.doc_id])
-    return texts, np.array(y, np.float64)
+    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id")  # MAX_POSITIVE + MAX_NEGATIVE rows
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
+    rows = [r for k, r in enumerate(rows) if not k or rows[k - 1][0] != r[0]]
+    weight, bias = train([r[1] for r in rows], np.array([r[2] for r in rows], np.float64))
+    yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["weight", "bias"])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """The model, trained in one task: its rows are bounded, and a lost executor only repeats it."""
+    row = sample(docs, labels).repartition(1).mapInArrow(_fit, "weight binary, bias double").first()
+    return (np.frombuffer(row.weight, np.float32), row.bias) if row else (np.zeros(BUCKETS, np.float32), -50.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with a column ``score``; extra columns stay."""
-    texts, y = training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    weight, bias = train(texts, y)
-    shared = docs.sparkSession.sparkContext.broadcast((weight, bias))  # BUCKETS * 4 bytes, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.select("doc_id", "toxic")))  # BUCKETS * 4 bytes, whatever the input
     keep = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

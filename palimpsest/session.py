@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,4 +22,13 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.config(map=DEFAULTS | {k.replace("_", "."): v for k, v in conf.items()})
     if master:
         b = b.master(master).config("spark.driver.memory", os.environ.get("PALIMPSEST_DRIVER_MEMORY", "8g")).config("spark.sql.shuffle.partitions", "8")
-    return b.getOrCreate()
+    return visible(b.getOrCreate())
+
+
+def visible(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver did, whatever the working directory is."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH", ""))))
+    return spark

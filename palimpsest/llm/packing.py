@@ -6,8 +6,8 @@ at a time, a bitset says which amounts of free space some open bin has, an item
 goes to the open bin with the least free space that still holds it, and when a
 new bin would exceed the fixed number, the fullest open bin is closed first.
 
-Pieces are dealt to groups of about ``GROUP`` items by a hash and packed in hash
-order, so the packing is the same in every run and no task gets more than a
+Pieces are dealt to groups of about ``GROUP`` items by a hash and arrive in hash
+order, each lot of ``ARRIVALS`` with its longest first, so the packing is the same in every run and no task gets more than a
 group; each group leaves at most ``OPEN_BINS`` bins partly filled.
 
 Edge cases: null and empty texts are the single token 0; null ids are packed like
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, OPEN_BINS, GROUP = 2048, 1024, 250_000
+#: Items arrive in lots of this size, the longest first: small ones then close the gaps that large ones leave.
+ARRIVALS = 2000
 CACHE_WORDS = 1_000_000
 #: A full stop or comma beside another mark belongs to one piece with it; elsewhere it is a piece of its own.
 _RUN = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
@@ -165,6 +167,7 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, open_bins: in
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order_", "doc_id", "piece", "start", "length", "ids_crc32"], kind="stable")
+        pdf = pdf.iloc[np.lexsort((-pdf["length"].to_numpy(), np.arange(len(pdf)) // ARRIVALS))]
         fit, base = BestFit(capacity, open_bins), int(pdf["group_"].iloc[0]) << 36 if len(pdf) else 0
         placed = [fit.place(n) for n in pdf["length"].tolist()]
         pdf["sequence_id"] = [base + s for s, _ in placed]

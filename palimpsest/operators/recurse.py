@@ -16,20 +16,21 @@ def chains(revisions: DataFrame, starts: DataFrame) -> DataFrame:
     """All first-parent ancestors of each start, itself included.
 
     revisions: (backing, revid, parent); starts: any columns and (backing, start).
-    Adds revid and depth.  The jump table doubles its distance in each round, so a
-    chain of n revisions takes log2(n) rounds.
+    Adds revid and depth.  Jump tables of distance 1, 2, 4, … are written until one is
+    empty: log2(n) small tables for a chain of n revisions.  Every path then either takes or
+    leaves each jump, so all paths come from one job with one join per table.
     """
-    jump = revisions.where("parent is not null").select("backing", F.col("revid").alias("at"), F.col("parent").alias("to"))
+    jumps = [stored(revisions.where("parent is not null").select("backing", F.col("revid").alias("at"), F.col("parent").alias("to")), "jump")]
+    while not jumps[-1].isEmpty():
+        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
+        jumps.append(stored(a.join(b, (F.col("a.backing") == F.col("b.backing")) & (F.col("a.to") == F.col("b.at"))).select("a.backing", "a.at", F.col("b.to").alias("to")), "jump"))
+    own = [f"`{c}`" for c in starts.columns]
     paths = starts.select("*", F.col("start").alias("revid"), F.lit(0).cast("long").alias("depth"))
-    step = 1
-    while True:
-        moved = paths.join(jump, (paths["backing"] == jump["backing"]) & (paths["revid"] == jump["at"])).select(*[paths[c] for c in paths.columns if c not in ("revid", "depth")], jump["to"].alias("revid"), (paths["depth"] + step).alias("depth"))
-        paths = stored(paths.unionByName(moved), "paths")
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = stored(a.join(b, (F.col("a.backing") == F.col("b.backing")) & (F.col("a.to") == F.col("b.at"))).select("a.backing", "a.at", F.col("b.to").alias("to")), "jump")
-        step *= 2
-        if jump.isEmpty():
-            return paths
+    for k, jump in enumerate(jumps[:-1]):
+        j = jump.select(F.col("backing").alias("j_backing"), "at", "to")
+        both = paths.join(j, (F.col("backing") == F.col("j_backing")) & (F.col("revid") == F.col("at")), "left")
+        paths = both.selectExpr(*own, f"inline(filter(array(struct(revid as revid, depth as depth), struct(to as revid, depth + {1 << k} as depth)), x -> x.revid is not null))")
+    return stored(paths, "paths")
 
 
 def closure(edges: DataFrame, starts: DataFrame, key: str = "backing") -> DataFrame:

@@ -57,6 +57,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN
     own = own.selectExpr("k1", "k2", f"{_digest('line')} d").selectExpr("k1", "k2", "d.h1", "d.h2")
     # each (text, line) once before the lines of a text are gathered: copies of a text add nothing
     gone = own.join(bad, ["h1", "h2"]).select("k1", "k2", "h1", "h2").distinct().groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone_"))
+    gone = stored(gone, "cuts")  # written, so that the join's partitions are free to be split where copies of a text meet
     keyed = docs.drop("n_lines", "n_removed", "gone_").selectExpr("*", "xxhash64(text) k1", "xxhash64(1L, text) k2")
     out = keyed.join(gone, ["k1", "k2"], "left").drop("k1", "k2")
     full = "filter(split(text, '\\n'), l -> trim(BOTH ' \\t\\r' FROM l) <> '')"

@@ -62,16 +62,22 @@ def parents(revisions: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame, key: str = "backing") -> DataFrame:
-    """Longest distance of each node from a node without incoming order (edges: src after dst); nodes on a cycle are left out."""
-    left = edges.select(key, "src", "dst")
-    rest = nodes.select(key, "node")
-    done, depth = None, 0
+    """Longest distance of each node from a node without incoming order (edges: src after dst); nodes on a cycle are left out.
+
+    A node is free when all it comes after are done; only nodes after the last level are
+    looked at, so each step costs what it finds.
+    """
+    order = edges.select(key, "src", "dst")
+    level = nodes.select(key, "node").join(order.select(key, F.col("src").alias("node")).distinct(), [key, "node"], "left_anti")
+    done, parts, depth = None, 0, 0
     while True:
-        free = stored(rest.join(left.select(key, F.col("src").alias("node")).distinct(), [key, "node"], "left_anti").withColumn("level", F.lit(depth).cast("long")), "free")
-        if free.isEmpty():
-            return done if done is not None else free
-        done = free if done is None else done.unionByName(free)
-        gone = free.select(key, "node")
-        rest = stored(rest.join(gone, [key, "node"], "left_anti"), "rest")
-        left = stored(left.join(gone.withColumnRenamed("node", "dst"), [key, "dst"], "left_anti"), "order")
-        depth += 1
+        level = stored(level.withColumn("level", F.lit(depth).cast("long")), "free")
+        if level.isEmpty():
+            return done if done is not None else level
+        done, parts, depth = level if done is None else done.unionByName(level), parts + 1, depth + 1
+        if parts == 8:
+            done, parts = stored(done, "done"), 1
+        after = order.join(level.select(key, F.col("node").alias("dst")), [key, "dst"], "left_semi").select(key, "src").distinct()
+        needs = order.join(after, [key, "src"], "left_semi")
+        waits = needs.join(done.select(key, F.col("node").alias("dst")), [key, "dst"], "left_anti").select(key, "src").distinct()
+        level = after.join(waits, [key, "src"], "left_anti").select(key, F.col("src").alias("node"))

@@ -33,3 +33,25 @@ def test_feed_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("fresh_feed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.sql("select * from fresh_feed").collect())) == want
+
+
+def test_graph_files_and_attachments(spark, tmp_path):
+    import hashlib
+
+    from palimpsest.functions import codec
+    from palimpsest.sources import interchange
+
+    u = "00000000-0000-4000-8000-0000000000%02x"
+    items = [{"id": u % 1, "attrs": {"name": (3, "root"), "parts": (38, [u % 2]), "raw": (4, b"\1")}}, {"id": u % 2, "attrs": {"name": (3, None)}}]
+    for folder, body in (("bin", codec.graph_to_binary(u % 1, items)), ("json", codec.graph_to_json(u % 1, items).encode())):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a").write_bytes(body)
+    want = {(u % 1, "name", 3, "root", None), (u % 1, "parts", 38, None, (u % 2,)), (u % 1, "raw", 4, "AQ==", None), (u % 2, "name", 3, None, None)}
+    for folder, form in (("bin", "binary"), ("json", "json")):
+        got = interchange.read_graphs(spark, str(tmp_path / folder), form).collect()
+        assert {(r.item, r.attr, r.type, r.val, tuple(r.vals) if r.vals is not None else None) for r in got} == want
+        assert {r.root for r in got} == {u % 1}
+    (tmp_path / "bin" / "b").write_bytes((tmp_path / "bin" / "a").read_bytes())
+    found = interchange.import_attachments(spark, str(tmp_path / "bin")).collect()
+    assert [r.attachment for r in found] == [hashlib.sha1((tmp_path / "bin" / "a").read_bytes()).hexdigest()]
+    assert interchange.import_attachments(spark, str(tmp_path / "bin"), spark.createDataFrame([(found[0].attachment,)], "attachment string")).count() == 0

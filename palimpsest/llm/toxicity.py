@@ -40,6 +40,8 @@ PAD = 300
 MIN_TEXTS = 3
 #: In the last third of the epochs, a label further than this from the prediction counts as wrong.
 TRIM = 0.9
+#: Share of the epochs that learn from a random window of each text instead of the highest.
+WARM = 0.4
 THRESHOLD = 0.3
 _K = [U64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(8)]
 
@@ -154,6 +156,8 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
         top = np.full(len(texts), -1)
         hit = np.flatnonzero(logit + noise >= best[docs])
         top[docs[hit]] = hit
+        if epoch < epochs * WARM:  # at first any window: what toxic texts share shows before one window is settled on
+            top = offset[:-1] + (rng.random(len(texts)) * np.diff(offset)).astype(np.int64)
         rate = RATE * (1 - epoch / epochs)
         for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 16)):
             win = top[batch]

@@ -38,6 +38,11 @@ _RUN = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
 _state: dict[str, tuple] = {}
 
 
+# How byte-level tokenizers write bytes as letters: printable ones stand for themselves, the others follow from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: b for b in _SELF} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
+
+
 class BestFit:
     """Bounded-space best-fit over item lengths 1..capacity."""
 
@@ -81,35 +86,24 @@ def word_encoder(path: str):
     up to a bounded number.
     """
     if path not in _state:
-        import json
-
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        suffix = spec["model"].get("end_of_word_suffix") or ""
-        ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
-        for w, i in spec["model"]["vocab"].items():
-            ends[i] = bool(suffix) and w.endswith(suffix)
-        _state[path] = (tok, ends, {})
-    tok, ends, cache = _state[path]
+        _state[path] = (tok, tok.model, {})
+    tok, model, cache = _state[path]
 
     def learn(chunks: set[bytes]) -> None:
-        plain, rest = [], []
+        rest = []
         for c in chunks:
             s = c.decode("utf-8")
-            (plain if s.isalpha() and (s.isascii() or is_normalized("NFC", s)) else rest).append((c, s))
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(tok.encode_batch_fast([" ".join(s for _, s in part)], add_special_tokens=False)[0].ids, "<u2")
-            cut = np.flatnonzero(ends[ids]) + 1
-            if len(cut) != len(part):
-                rest += part
-                continue
-            raw, a = ids.tobytes(), 0
-            for (c, _), b in zip(part, (2 * cut).tolist(), strict=True):
-                cache[c] = raw[a:b]
-                a = b
+            if s.isalpha():  # one piece: letters only, in lower case, nothing to normalise
+                if s.isascii():
+                    cache[c] = array("H", [t.id for t in model.tokenize(s)]).tobytes()
+                    continue
+                if s == s.lower() and is_normalized("NFC", s):
+                    cache[c] = array("H", [t.id for t in model.tokenize(c.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+                    continue
+            rest.append((c, s))
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             for (c, _), e in zip(part, tok.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):

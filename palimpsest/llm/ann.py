@@ -4,10 +4,12 @@ Centroids of directions are fitted on at most ``SAMPLE`` vectors with a penalty
 full clusters; their number is ``PER_LIST`` rows to a list, within bounds.  Every
 vector is put on the list of its nearest centroid and, where it lies near a boundary
 (distance within ``1 + SPREAD`` of the nearest), on up to ``REPLICAS`` lists.  Centroids
-are searched through an in-memory neighbour graph with a beam.  A query reads the lists
-whose centroid is within ``1 + PRUNE`` of its nearest one (``LISTS`` at least and at most
-``MAX_LISTS``).  Lists are dealt in chunks of ``CHUNK`` rows, so a long list is several
-tasks, and each chunk keeps only the best k of each query.
+are searched through an in-memory neighbour graph with a beam.  Where lengths differ, lists
+are split by bands of length too, and a query ranks a list by what its band can reach.
+How many lists a query reads is measured: ``HELD`` queries are answered by brute force, and
+every query reads as many of its lists, ``LISTS`` at least and all at most, as found
+``TARGET`` of their neighbours.  Lists are dealt in chunks of ``CHUNK`` rows, so a long list
+is several tasks, and each chunk keeps only the best k of each query.
 
 Of vectors equal in every component only the k + 1 smallest ids can be among
 anybody's k nearest; they stand for the group, so copies cost nothing and no neighbour
@@ -30,8 +32,11 @@ from pyspark.sql import functions as F
 from palimpsest.llm._kernels import stored
 
 SAMPLE, PER_LIST, MIN_LISTS, MAX_CENTROIDS = 20_000, 400, 32, 4096
-REPLICAS, SPREAD, LISTS, MAX_LISTS, PRUNE, CHUNK = 8, 0.4, 12, 16, 0.25, 6_000
+REPLICAS, SPREAD, LISTS, CHUNK = 8, 0.4, 16, 6_000
+HELD, TARGET = 256, 0.95
 NEIGHBOURS, BEAM = 16, 64
+#: Shares of the sample at which bands of length end, where lengths differ by more than EVEN.
+BANDS, EVEN = (0.5, 0.75, 0.9, 0.97), 1.1
 
 
 class Graph:
@@ -96,7 +101,36 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
-def _assign(graph, least: int, most: int, spread: float):
+class Lists:
+    """Posting lists: list = centroid * bands + band of length."""
+
+    def __init__(self, sample: np.ndarray, lists: int):
+        size = np.linalg.norm(sample, axis=1)
+        even = size.max() <= EVEN * size.min()
+        self.edges = np.empty(0) if even else np.unique(np.quantile(size, BANDS))
+        self.bands = len(self.edges) + 1
+        self.graph = Graph(fit(sample, max(1, lists // self.bands)))
+        band = self.band(size)
+        self.weight = np.array([size[band == k].mean() if (band == k).any() else size.mean() for k in range(self.bands)])
+        x = sample / size[:, None]
+        mean = float(np.mean(np.concatenate([(x[i : i + 4096] @ self.graph.c.T).max(1) for i in range(0, len(x), 4096)])))
+        self.mean, self.tail = mean, 2 * np.sqrt(max(0.0, 1 - mean * mean) / x.shape[1])
+
+    @property
+    def count(self) -> int:
+        return len(self.graph.c) * self.bands
+
+    def band(self, size: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, size, side="right")
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All lists for each row of q, the likeliest to hold large inner products first."""
+        cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ self.graph.c.T
+        reach = (self.mean * cos + self.tail)[:, :, None] * self.weight
+        return np.argsort(-reach.reshape(len(q), -1), axis=1, kind="stable")
+
+
+def _assign(index):
     """(id, vector) -> (id, vector, list) for the lists within the ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +138,64 @@ def _assign(graph, least: int, most: int, spread: float):
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 v = _matrix(b.column(1))
-                lists, cos = graph.value.search(v / np.linalg.norm(v, axis=1, keepdims=True))
+                size = np.linalg.norm(v, axis=1)
+                lists, cos = index.value.graph.search(v / size[:, None])
                 gap = 1 - cos
-                ok = gap <= (1 + spread) * gap[:, :1] + 1e-12
-                ok[:, :least] = True
-                ok[:, most:] = False
+                ok = gap <= (1 + SPREAD) * gap[:, :1] + 1e-12
+                ok[:, :1] = True
+                ok[:, REPLICAS:] = False
                 i, j = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(lists[i, j].astype(np.int32))], ["id", "v", "list"])
+                of = lists[i, j] * index.value.bands + index.value.band(size)[i]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(of.astype(np.int32))], ["id", "v", "list"])
+
+    return run
+
+
+def _asked(index, reads: int):
+    """(id, vector) -> (id, vector, list) for the lists that a query reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                lists = index.value.order(_matrix(b.column(1)))[:, :reads]
+                i = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), pa.array(lists.ravel().astype(np.int32))], ["id", "v", "list"])
 
     return run
 
 
+def _brute(held, k: int):
+    """(id, vector) -> the k nearest of each held query in every batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = _nearest(k)
+        for b in batches:
+            yield from near(held.value, pa.Table.from_batches([b])).to_batches()
+
+    return run
+
+
+def lists_read(kept: DataFrame, members: DataFrame, queries: DataFrame, index: Lists, k: int) -> int:
+    """How many lists hold TARGET of the true neighbours of the held queries; LISTS at least."""
+    if index.count <= LISTS:
+        return index.count
+    held = queries.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(HELD).select("id", "v").toArrow()
+    if not held.num_rows:
+        return LISTS
+    shared = kept.sparkSession.sparkContext.broadcast(held)
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = kept.mapInArrow(_brute(shared, k), "query_id long, vec_id long, score double").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
+    on = members.select("id", "list").join(F.broadcast(near), F.col("id") == F.col("vec_id")).select("query_id", "vec_id", "list").toPandas()
+    order = index.order(_matrix(held.column("v")))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
+    row = {q: i for i, q in enumerate(held.column("id").to_pylist())}
+    on["place"] = place[on.query_id.map(row).to_numpy(), on.list.to_numpy()]
+    first = np.sort(on.groupby(["query_id", "vec_id"]).place.min().to_numpy())
+    return max(LISTS, int(first[int(np.ceil(TARGET * len(first))) - 1]) + 1) if len(first) else LISTS
+
+
 def _nearest(k: int):
     def run(q: pa.Table, m: pa.Table) -> pa.Table:
         out_q, out_m, out_s = [], [], []
@@ -162,11 +243,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if not n:
         return spark.createDataFrame([], schema)
     sample = kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    graph = spark.sparkContext.broadcast(Graph(fit(_matrix(sample.column("v")), max(MIN_LISTS, min(MAX_CENTROIDS, n // PER_LIST)))))
+    index = Lists(_matrix(sample.column("v")), max(MIN_LISTS, min(MAX_CENTROIDS, n // PER_LIST)))
+    shared = spark.sparkContext.broadcast(index)
     listed = "id long, v array<double>, list int"
-    members = stored(kept.mapInArrow(_assign(graph, 1, REPLICAS, SPREAD), listed), "lists")
+    members = stored(kept.mapInArrow(_assign(shared), listed), "lists")
+    reads = lists_read(kept, members, queries, index, k)
     chunks = members.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    asked = queries.mapInArrow(_assign(graph, LISTS, MAX_LISTS, PRUNE), listed).join(chunks, "list").selectExpr("id", "v", "list", "explode(sequence(0, chunks - 1)) chunk")
+    asked = queries.mapInArrow(_asked(shared, reads), listed).join(chunks, "list").selectExpr("id", "v", "list", "explode(sequence(0, chunks - 1)) chunk")
     dealt = members.join(chunks, "list").selectExpr("id", "v", "list", "cast(pmod(xxhash64(id), chunks) as int) chunk")
     found = asked.groupBy("list", "chunk").cogroup(dealt.groupBy("list", "chunk")).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

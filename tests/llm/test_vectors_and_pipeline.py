@@ -49,6 +49,23 @@ def test_vectors_odd_and_equal(spark):
     assert got == brute(ids, vec, range(0, 260, 20), 5)
 
 
+def test_recall_with_many_lists(spark, monkeypatch):
+    """A thousand lists, as a large table has them, and lengths that differ: sixteen lists are not enough."""
+    monkeypatch.setattr(ann, "PER_LIST", 15)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(15_000, 64))
+    x *= rng.lognormal(0, 0.5, (len(x), 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    v = ann.usable(spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], KIND))
+    queries = list(range(0, 15_000, 100))
+    got = {}
+    for r in ann.search(v, v.where("id % 100 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    near = np.argsort(-s, axis=1)[:, :20]
+    assert sum(len(got[q] & set(w.tolist())) for q, w in zip(queries, near, strict=True)) / (20 * len(queries)) >= 0.9
+
+
 def test_few_and_no_vectors(spark):
     v = ann.usable(spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0)], KIND))
     assert [tuple(r) for r in ann.search(v, v.where("id % 20 = 0")).collect()] == [(0, 1, 1, 0.5)]

@@ -4,7 +4,7 @@ A text is normalised to its words (ASCII letters in lower case; words are runs o
 ASCII letters, digits and non-ASCII characters).  Every rule is a regular
 expression over the words with a keyword, a label and a priority; the rules are
 the patterns of ``TEMPLATES`` for each licence of ``LICENCES``.  A rule is tried only
-where its keyword stands in the text.  A detection whose interval of words lies
+where its keyword stands in the text, one that every match of its own pattern holds.  A detection whose interval of words lies
 inside another detection's is suppressed if that one has a higher priority, or the
 same priority and more words.  Base phrases are always reported.
 
@@ -15,6 +15,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +111,10 @@ def rules() -> list[tuple[str, str, str, int]]:
     for label, rest in names:
         keyword, rest = rest.split("|", 1)
         name, short = _part(rest)
-        out += [(keyword, shape.format(n=f"(?:{name})", i=f"(?:{short})"), label, int(priority)) for priority, shape in shapes]
+        # a name's keyword may end a longer word (freebsd); an identifier begins with its own word
+        by_name = f"{keyword} " if re.search(f"[a-z0-9]{keyword}", name) else f" {keyword} "
+        by_short = f" {re.match('[a-z0-9]+', short)[0]} "
+        out += [(by_name if "{n}" in shape else by_short, shape.format(n=f"(?:{name})", i=f"(?:{short})"), label, int(priority)) for priority, shape in shapes]
     return out
 
 
@@ -137,10 +142,12 @@ def scan(docs: DataFrame) -> DataFrame:
     table: dict[str, list] = {}
     for keyword, pattern, label, priority in rules():
         table.setdefault(keyword, []).append(F.struct(F.lit(f" (?:{pattern})(?= )").alias("rx"), F.lit(label).alias("label"), F.lit(priority).alias("priority")))
-    groups = F.array(*(F.struct(F.lit(f" {k} ").alias("keyword"), F.array(*v).alias("rules")) for k, v in table.items()))
+    groups = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in table.items()))
     x = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
     x = x.selectExpr("doc_id", "text", f"cast(size(regexp_extract_all(text, '{_WORD}', 0)) as long) n_words", "lower(text) low")
-    gate = "contains(low, 'licen') or contains(low, 'spdx') or (contains(low, 'cc') and contains(low, 'by') and contains(low, 'nc'))"
+    # what one pattern or another must hold: the rules of priority 90 can do without a licence's word
+    verbs = " or ".join(f"contains(low, '{v}')" for v in ("released", "distributed", "available", "provided", "published", "covered"))
+    gate = f"contains(low, 'licen') or contains(low, 'spdx') or (contains(low, 'under') and ({verbs})) or (contains(low, 'cc') and contains(low, 'by') and contains(low, 'nc'))"
     norm = f"concat(' ', trim(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '{_GAP}', ' ')), ' ')"
     x = x.selectExpr("doc_id", "n_words", f"if({gate}, {norm}, null) s").withColumn("groups", groups)
     base = ", ".join(f"transform({_places(repr(f' {p}(?= )'))}, y -> struct(y.a as a, y.b as b, '{label}' as label))" for p, label in BASE)

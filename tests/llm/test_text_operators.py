@@ -274,6 +274,33 @@ def test_license_base_equals_brute_force(spark):
     assert len(licenses.rules()) > 300
 
 
+def example(pattern: str, pick: int, whole: bool) -> str:
+    """A string that the pattern matches: the pick-th of alternatives, options taken or left."""
+    from re import _constants as c
+    from re import _parser
+
+    def one(op, arg) -> str:
+        if op is c.LITERAL:
+            return chr(arg)
+        if op is c.IN:
+            return chr(arg[0][1] if arg[0][0] is c.LITERAL else arg[0][1][0])
+        if op is c.MAX_REPEAT:
+            return some(arg[2]) if whole or arg[0] else ""
+        return some(arg[1][pick % len(arg[1])]) if op is c.BRANCH else some(arg[3])
+
+    def some(items) -> str:
+        return "".join(one(*x) for x in items)
+
+    return some(_parser.parse(pattern))
+
+
+def test_every_license_rule_fires(spark):
+    cases = sorted({(example(p, pick, whole), label, priority) for _, p, label, priority in licenses.rules() for pick in range(6) for whole in (False, True)})
+    got = {x.doc_id: x.detections for x in licenses.scan(docs(spark, [f"x {t} x" for t, _, _ in cases])).collect()}
+    dull = [t for k, (t, _, priority) in enumerate(cases) if not any(d.b - d.a >= len(t.split()) and d.priority >= priority for d in got[k])]
+    assert not dull, (len(dull), len(cases), dull[:5])
+
+
 def test_contained_detection_is_suppressed(spark):
     x = licenses.scan(docs(spark, ["Licensed under the Apache License, Version 2.0"])).first()
     assert {d.label for d in x.detections} == {"apache-2"} and len({(d.a, d.b) for d in x.detections}) == 1

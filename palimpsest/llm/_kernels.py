@@ -1,12 +1,15 @@
 """Vectorised text kernels shared by the Arrow-batched operators.
 
 All of them work on the UTF-8 bytes of many documents at once, so no Python
-code runs per word.  A word hash is a polynomial in a fixed odd base over the
-bytes of the word, taken modulo 2**64 and mixed afterwards.
+code runs per word.  A word hash is multilinear: the sum of its bytes, each times
+a pseudo-random 64-bit number that belongs to its place in the word, mixed
+afterwards, so no two words collide by the structure of the hash.  ``seed`` picks
+another set of numbers.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -15,10 +18,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 
 #: True where a byte belongs to a word, for words split at ASCII white space.
 SPACE_WORD = np.ones(256, bool)
@@ -41,23 +44,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_pow: dict[int, np.ndarray] = {}
+_keys: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept per process and grown on demand."""
-    have = _pow.get(base)
+def place_keys(seed: int, n: int) -> np.ndarray:
+    """One pseudo-random number for each place in a word, kept per process and grown on demand."""
+    have = _keys.get(seed)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
-        out = np.empty(size, U64)
-        out[0] = 1
-        done = 1
-        while done < size:
-            step = U64(pow(base, done, 1 << 64))
-            out[done : 2 * done] = out[:done] * step
-            done *= 2
-        _pow[base] = have = out
-    return have[:n]
+        size = 1 << max(10, int(n).bit_length())
+        _keys[seed] = have = mix(mix(np.arange(1, size + 1, dtype=U64)) + U64(pow(_BASE, seed + 2, 1 << 64)))
+    return have
 
 
 class Texts:
@@ -92,7 +88,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20, column:
 class Words:
     """Word boundaries and hashes of a slice; ``first[d]:first[d+1]`` are the words of document d."""
 
-    def __init__(self, t: Texts, is_word: np.ndarray, fold: np.ndarray, salt: int = 0):
+    def __init__(self, t: Texts, is_word: np.ndarray, fold: np.ndarray, seed: int = 0):
         data, off = t.data, t.offsets
         n = len(data)
         w = is_word[data]
@@ -110,11 +106,13 @@ class Words:
         self.end = np.flatnonzero(w & ~after) + 1
         self.first = np.searchsorted(self.start, off)
         self.count = np.diff(self.first)
-        if n:
-            sums = np.cumsum((fold[data].astype(U64) + U64(1 + salt)) * powers(_BASE, n), dtype=U64)
-            total = sums[self.end - 1]
-            total -= np.where(self.start > 0, sums[self.start - 1], U64(0))
-            self.hash = mix(total * powers(_INV, n)[self.start] + (self.end - self.start).astype(U64) * U64(0xE7037ED1A0B428DB))
+        size = self.end - self.start
+        if len(size):
+            # bytes of words only, word after word
+            edge = np.concatenate([[0], np.cumsum(size)])
+            place = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+            parts = (fold[data[w]].astype(U64) + U64(1)) * place_keys(seed, int(size.max()))[place]
+            self.hash = mix(np.add.reduceat(parts, edge[:-1]) + size.astype(U64) * U64(0xE7037ED1A0B428DB))
         else:
             self.hash = np.empty(0, U64)
 
@@ -137,19 +135,22 @@ def grams(w: Words, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[ok]), ok
 
 
-def sequence_hash(w: Words, seed: int) -> np.ndarray:
-    """One hash per document over its whole word sequence (order counts)."""
-    if not len(w.hash):
-        return np.zeros(len(w.count), U64)
-    at = np.arange(len(w.hash), dtype=np.int64) - np.repeat(w.first[:-1], w.count)
-    part = mix(w.hash ^ U64(seed)) * powers(_BASE, int(at.max()) + 1)[at]
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(part, dtype=U64)])
-    return mix(sums[w.first[1:]] - sums[w.first[:-1]] + w.count.astype(U64))
+def sequences(t: Texts, is_word: np.ndarray, fold: np.ndarray) -> Iterator[bytes]:
+    """The words of each document, joined by one space."""
+    w = is_word[t.data]
+    keep = w.copy()
+    keep[1:] |= w[:-1]
+    flat = np.where(w, fold[t.data], 32).astype(np.uint8)[keep]
+    edge = np.concatenate([[0], np.cumsum(keep)])[t.offsets]
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield flat[a:b].tobytes().strip()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where one machine does everything and the session names none."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.environ.get("PALIMPSEST_LOCAL_SHARED") or tempfile.mkdtemp(prefix="palimpsest-")
         os.environ["PALIMPSEST_LOCAL_SHARED"] = at
         at = f"file://{at}"
@@ -159,6 +160,24 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots written as two underscores) that hold for one block and are put back after it."""
+    before = {}
+    for key, value in values.items():
+        name = key.replace("__", ".")
+        before[name] = spark.conf.get(name, None)
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, lost executors don't matter.
 
@@ -166,17 +185,50 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, **{_CLEANUP.replace(".", "__"): "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these tables; nothing may read them any more."""
+    for t in tables:
+        folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(taken: Iterable[str], *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as no column in taken has."""
+    low = {x.lower() for x in taken}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n = f"_{n}"
+        low.add(n.lower())
+        out.append(n)
+    return tuple(out)
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the wanted ones, and those whose key is surely not; no shuffle of rows.
+
+    What is broadcast is a bitmap of at most 2**17 words, whatever the number of wanted keys.
+    """
+    spot = "pmod(xxhash64({}), " + f"{1 << 23})"
+    place, word, bits = fresh(rows.columns, "place", "word", "bits")
+    table = wanted.selectExpr(f"{spot.format(wanted_key)} p").groupBy(F.expr("p div 64").alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias(bits))
+    near = rows.withColumn(place, F.expr(spot.format(key))).withColumn(word, F.expr(f"`{place}` div 64")).join(F.broadcast(table), word, "left")
+    hit = f"coalesce(shiftrightunsigned(`{bits}`, cast(`{place}` % 64 as int)) % 2 <> 0, false)"
+    return near.where(hit).select(*rows.columns), near.where(f"not {hit}").select(*rows.columns)
+
+
+def among(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys may be among the wanted ones (some others pass too)."""
+    return marked(rows, ", ".join(keys), wanted, ", ".join(keys))[0]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get, where the session has the defaults (long texts make 10,000 rows too many)."""
-    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
-        if spark.conf.get(key, default) == default:
-            spark.conf.set(key, value)
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Bounds the Arrow batches of the steps inside (long texts make 10,000 rows too many)."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000", spark__sql__execution__arrow__maxBytesPerBatch="8m")

@@ -1,14 +1,16 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Centroids of directions are fitted on at most ``SAMPLE`` vectors with a penalty on
-full clusters; their number is ``PER_LIST`` rows to a list, within bounds.  Every
+Centroids of directions are fitted with a penalty on full clusters, on four vectors
+to a list, ``SAMPLE`` at least and ``MAX_SAMPLE`` at most; there is one list to ``PER_LIST`` rows,
+up to ``MAX_LISTS``, and many of them are fitted in two levels.  Every
 vector is put on the list of its nearest centroid and, where it lies near a boundary
 (distance within ``1 + SPREAD`` of the nearest), on up to ``REPLICAS`` lists.  Centroids
 are searched through an in-memory neighbour graph with a beam.  Where lengths differ, lists
 are split by bands of length too, and a query ranks a list by what its band can reach.
 How many lists a query reads is measured: ``HELD`` queries are answered by brute force, and
 every query reads as many of its lists, ``LISTS`` at least and all at most, as found
-``TARGET`` of their neighbours.  Lists are dealt in chunks of ``CHUNK`` rows, so a long list
+``TARGET`` of their neighbours; a table of up to ``LISTS`` lists is read whole, so its results
+are exact.  Lists are dealt in chunks of ``CHUNK`` rows, so a long list
 is several tasks, and each chunk keeps only the best k of each query.
 
 Of vectors equal in every component only the k + 1 smallest ids can be among
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._kernels import stored
 
-SAMPLE, PER_LIST, MIN_LISTS, MAX_CENTROIDS = 20_000, 400, 32, 4096
+PER_LIST, MAX_LISTS, SAMPLE, MAX_SAMPLE = 400, 1 << 15, 20_000, 1 << 17
+#: More lists than this are fitted in two levels.
+FLAT = 512
 REPLICAS, SPREAD, LISTS, CHUNK = 8, 0.4, 16, 6_000
 HELD, TARGET = 256, 0.95
 NEIGHBOURS, BEAM = 16, 64
@@ -46,16 +50,22 @@ class Graph:
         self.c = centroids
         n, k = len(centroids), min(NEIGHBOURS, len(centroids) - 1)
         links = []
-        for i in range(0, n, 512):
-            sim = centroids[i : i + 512] @ centroids.T
+        for i in range(0, n, 128):
+            sim = centroids[i : i + 128] @ centroids.T
             sim[np.arange(len(sim)), np.arange(i, i + len(sim))] = -9
-            links.append(np.argsort(-sim, axis=1, kind="stable")[:, :k])
+            near = np.argpartition(-sim, max(0, k - 1), axis=1)[:, :k]
+            links.append(np.sort(near, axis=1))
         far = np.random.default_rng(3).integers(0, n, (n, 4))
         self.links = np.concatenate([np.concatenate(links) if k else np.zeros((n, 0), int), far], axis=1)
         self.start = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
 
     def search(self, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The beam best centroids of each row of q and their cosines, best first."""
+        step = max(16, (1 << 22) // len(self.c))  # bounds the tables of a block
+        found = [self._search(q[i : i + step], beam) for i in range(0, len(q), step)]
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, b = len(self.c), min(beam, len(self.c))
         rows = np.arange(len(q))[:, None]
         sim = np.full((len(q), n), -np.inf)
@@ -82,6 +92,11 @@ def fit(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     rng = np.random.default_rng(5)
     lists = min(lists, len(x))
+    if lists > FLAT:  # a coarse level first, then each of its cells by itself
+        c = fit(x, int(np.sqrt(lists)), rounds)
+        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        cells = [x[near == k] for k in range(len(c))]
+        return np.concatenate([fit(cell, max(1, round(lists * len(cell) / len(x))), rounds) for cell in cells if len(cell)])
     c = x[np.sort(rng.choice(len(x), lists, replace=False))].copy()
     load = np.ones(lists)
     for _ in range(rounds):
@@ -242,8 +257,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    sample = kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    index = Lists(_matrix(sample.column("v")), max(MIN_LISTS, min(MAX_CENTROIDS, n // PER_LIST)))
+    lists = max(1, min(MAX_LISTS, n // PER_LIST))
+    sample = kept.orderBy(F.xxhash64("id"), "id").limit(min(MAX_SAMPLE, max(SAMPLE, 4 * lists))).select("v").toArrow()
+    index = Lists(_matrix(sample.column("v")), lists)
     shared = spark.sparkContext.broadcast(index)
     listed = "id long, v array<double>, list int"
     members = stored(kept.mapInArrow(_assign(shared), listed), "lists")

@@ -2,11 +2,11 @@
 
 A text is normalised to its words (ASCII letters in lower case; words are runs of
 ASCII letters, digits and non-ASCII characters).  Every rule is a regular
-expression over the words with a keyword, a label and a priority; the rules are
-the patterns of ``TEMPLATES`` for each licence of ``LICENCES``.  A rule is tried only
-where its keyword stands in the text, one that every match of its own pattern holds.  A detection whose interval of words lies
-inside another detection's is suppressed if that one has a higher priority, or the
-same priority and more words.  Base phrases are always reported.
+expression over the words with keywords, a label and a priority (``license_rules``).  A rule
+is tried only where all its keywords stand in the text, and every match of its own
+pattern holds them.  A detection whose interval of words lies inside another
+detection's is suppressed if that one has a higher priority, or the same priority
+and more words.  Base phrases are always reported.
 
 Edge cases: null text is empty; texts without a hit have no label, score 0 and null
 places; one output row per input row, so repeated rows and null ids are kept; extra
@@ -15,119 +15,18 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.license_rules import rules
+
 #: Phrases (words) and the labels they stand for.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Label | keyword | name as words | short identifier as words.
-LICENCES = """
-mit|mit|mit|mit
-apache-2|apache|apache(?: software)?(?: license)?(?: version)? 2(?: 0)?|apache 2 0
-apache-1.1|apache|apache(?: software)?(?: license)?(?: version)? 1 1|apache 1 1
-bsd-2-clause|bsd|(?:simplified bsd|freebsd|2 clause bsd|bsd 2 clause)|bsd 2 clause
-bsd-3-clause|bsd|(?:new bsd|revised bsd|modified bsd|3 clause bsd|bsd 3 clause)|bsd 3 clause
-bsd-4-clause|bsd|(?:original bsd|4 clause bsd|bsd 4 clause)|bsd 4 clause
-bsd|bsd|bsd|bsd
-0bsd|bsd|(?:zero clause bsd|0bsd)|0bsd
-isc|isc|isc|isc
-gpl-1|gpl|gpl(?: version)? v?1(?: 0)?|gpl 1 0(?: only| or later)?
-gpl-2|gpl|gpl(?: version)? v?2(?: 0)?|gpl 2 0(?: only| or later)?
-gpl-3|gpl|gpl(?: version)? v?3(?: 0)?|gpl 3 0(?: only| or later)?
-gpl-2|general|gnu general public license version 2|gpl 2 0(?: only| or later)?
-gpl-3|general|gnu general public license version 3|gpl 3 0(?: only| or later)?
-gpl|general|gnu general public|gpl
-lgpl-2|lgpl|lgpl(?: version)? v?2(?: 0)?|lgpl 2 0(?: only| or later)?
-lgpl-2.1|lgpl|lgpl(?: version)? v?2 1|lgpl 2 1(?: only| or later)?
-lgpl-3|lgpl|lgpl(?: version)? v?3(?: 0)?|lgpl 3 0(?: only| or later)?
-lgpl|lesser|gnu lesser general public|lgpl
-agpl-3|agpl|agpl(?: version)? v?3(?: 0)?|agpl 3 0(?: only| or later)?
-agpl|affero|gnu affero general public|agpl
-fdl|documentation|gnu free documentation|gfdl 1 3
-mpl-1.1|mozilla|mozilla public(?: license)?(?: version)? 1 1|mpl 1 1
-mpl-2|mozilla|mozilla public(?: license)?(?: version)? 2(?: 0)?|mpl 2 0
-epl-1|eclipse|eclipse public(?: license)?(?: version)? 1(?: 0)?|epl 1 0
-epl-2|eclipse|eclipse public(?: license)?(?: version)? 2(?: 0)?|epl 2 0
-cddl-1|cddl|cddl(?: version)?(?: 1(?: 0)?)?|cddl 1 0
-eupl-1.2|eupl|eupl(?: version)?(?: 1 2)?|eupl 1 2
-artistic-2|artistic|artistic(?: license)?(?: version)? 2(?: 0)?|artistic 2 0
-artistic-1|artistic|artistic(?: license)?(?: version)? 1(?: 0)?|artistic 1 0
-boost-1|boost|boost software(?: license)?(?: version)?(?: 1(?: 0)?)?|bsl 1 0
-zlib|zlib|zlib(?: libpng)?|zlib
-unlicense|unlicense|unlicense|unlicense
-wtfpl|wtfpl|wtfpl|wtfpl
-psf-2|python|python software foundation|psf 2 0
-ms-pl|microsoft|microsoft public|ms pl
-ms-rl|microsoft|microsoft reciprocal|ms rl
-ofl-1.1|ofl|(?:sil )?(?:open font )?ofl(?: version)?(?: 1 1)?|ofl 1 1
-odbl-1|odbl|odbl(?: version)?(?: 1(?: 0)?)?|odbl 1 0
-postgresql|postgresql|postgresql|postgresql
-openssl|openssl|openssl|openssl
-php-3|php|php(?: license)?(?: version)? 3(?: 0)?|php 3 0
-ruby|ruby|ruby|ruby
-vim|vim|vim|vim
-x11|x11|x11|x11
-ncsa|ncsa|(?:university of illinois )?ncsa(?: open source)?|ncsa
-cecill-2.1|cecill|cecill(?: version)?(?: 2 1)?|cecill 2 1
-afl-3|academic|academic free(?: license)?(?: version)?(?: 3(?: 0)?)?|afl 3 0
-osl-3|osl|(?:open software )?osl(?: version)?(?: 3(?: 0)?)?|osl 3 0
-cc0|cc0|(?:creative commons )?cc0(?: 1 0)?|cc0 1 0
-cc-by|cc|(?:creative commons )?cc by(?: [1-4] 0)?|cc by [1-4] 0
-cc-by-sa|cc|(?:creative commons )?cc by sa(?: [1-4] 0)?|cc by sa [1-4] 0
-cc-by-nc|cc|(?:creative commons )?cc by nc(?: [1-4] 0)?|cc by nc [1-4] 0
-cc-by-nd|cc|(?:creative commons )?cc by nd(?: [1-4] 0)?|cc by nd [1-4] 0
-cc-by-nc-sa|cc|(?:creative commons )?cc by nc sa(?: [1-4] 0)?|cc by nc sa [1-4] 0
-cc-by-nc-nd|cc|(?:creative commons )?cc by nc nd(?: [1-4] 0)?|cc by nc nd [1-4] 0
-cc-by|creative|creative commons attribution|cc by
-cc-by-sa|creative|creative commons attribution share ?alike|cc by sa
-cc-by-nc|creative|creative commons attribution non ?commercial|cc by nc
-cc-by-nd|creative|creative commons attribution no ?deriv(?:ative)?s?|cc by nd
-cc-by-nc-sa|creative|creative commons attribution non ?commercial share ?alike|cc by nc sa
-"""
-
-#: Priority | pattern; {n} is a licence's name, {i} its identifier.
-TEMPLATES = """
-100|spdx license identifier {i}
-90|(?:licensed|released|distributed|available|provided|published|covered) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[sc]e)?
-80|(?:under|see) the {n} licen[sc]e
-70|{n} licen[sc]ed?
-60|licen[sc]ed? {n}
-50|licen[sc]e (?:is |type |name )?{i}
-"""
-
-_WORD = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def rules() -> list[tuple[str, str, str, int]]:
-    """(keyword, pattern, label, priority) of every licence and template."""
-    names = [x.split("|", 1) for x in LICENCES.strip().splitlines()]
-    shapes = [x.split("|", 1) for x in TEMPLATES.strip().splitlines()]
-    out = []
-    for label, rest in names:
-        keyword, rest = rest.split("|", 1)
-        name, short = _part(rest)
-        # a name's keyword may end a longer word (freebsd); an identifier begins with its own word
-        by_name = f"{keyword} " if re.search(f"[a-z0-9]{keyword}", name) else f" {keyword} "
-        by_short = f" {re.match('[a-z0-9]+', short)[0]} "
-        out += [(by_name if "{n}" in shape else by_short, shape.format(n=f"(?:{name})", i=f"(?:{short})"), label, int(priority)) for priority, shape in shapes]
-    return out
-
-
-def _part(rest: str) -> tuple[str, str]:
-    """Splits name|identifier at the bar outside all brackets."""
-    depth = 0
-    for k, c in enumerate(rest):
-        depth += (c == "(") - (c == ")")
-        if c == "|" and not depth:
-            return rest[:k], rest[k + 1 :]
-    raise ValueError(rest)
-
-
 def _places(pattern: str) -> str:
     """SQL: [(start, end)] in words of all matches of a pattern in s (words, a space before each and one at the end)."""
     spaces = "length({0}) - length(replace({0}, ' ', ''))"
@@ -139,21 +38,17 @@ def _places(pattern: str) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: words, base places and labels, detections left after suppression, labels and score. No shuffle."""
-    table: dict[str, list] = {}
-    for keyword, pattern, label, priority in rules():
-        table.setdefault(keyword, []).append(F.struct(F.lit(f" (?:{pattern})(?= )").alias("rx"), F.lit(label).alias("label"), F.lit(priority).alias("priority")))
-    groups = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in table.items()))
+    table: dict[tuple[str, ...], list] = {}
+    for keywords, pattern, label, priority in rules():
+        table.setdefault(keywords, []).append(F.struct(F.lit(f" (?:{pattern})(?= )").alias("rx"), F.lit(label).alias("label"), F.lit(priority).alias("priority")))
+    groups = F.array(*(F.struct(F.array(*map(F.lit, k)).alias("keywords"), F.array(*v).alias("rules")) for k, v in table.items()))
     x = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
-    x = x.selectExpr("doc_id", "text", f"cast(size(regexp_extract_all(text, '{_WORD}', 0)) as long) n_words", "lower(text) low")
-    # what one pattern or another must hold: the rules of priority 90 can do without a licence's word
-    verbs = " or ".join(f"contains(low, '{v}')" for v in ("released", "distributed", "available", "provided", "published", "covered"))
-    gate = f"contains(low, 'licen') or contains(low, 'spdx') or (contains(low, 'under') and ({verbs})) or (contains(low, 'cc') and contains(low, 'by') and contains(low, 'nc'))"
-    norm = f"concat(' ', trim(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '{_GAP}', ' ')), ' ')"
-    x = x.selectExpr("doc_id", "n_words", f"if({gate}, {norm}, null) s").withColumn("groups", groups)
+    norm = f"concat(' ', trim(BOTH ' ' FROM regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '{_GAP}', ' ')), ' ')"
+    x = x.selectExpr("doc_id", f"{norm} s").withColumn("n_words", F.expr("if(s = '  ', 0L, cast(length(s) - length(replace(s, ' ', '')) - 1 as long))")).withColumn("groups", groups)
     base = ", ".join(f"transform({_places(repr(f' {p}(?= )'))}, y -> struct(y.a as a, y.b as b, '{label}' as label))" for p, label in BASE)
-    x = x.withColumn("base", F.expr(f"if(s is null, cast(array() as array<struct<a:bigint,b:bigint,label:string>>), flatten(array({base})))"))
-    tried = f"flatten(transform(filter(groups, k -> contains(s, k.keyword)), k -> flatten(transform(k.rules, r -> transform({_places('r.rx')}, y -> struct(y.a as a, y.b as b, r.priority as priority, r.label as label))))))"
-    x = x.withColumn("all_", F.expr(f"if(s is null, cast(array() as array<struct<a:bigint,b:bigint,priority:int,label:string>>), {tried})"))
+    x = x.withColumn("base", F.expr(f"flatten(array({base}))"))
+    tried = f"flatten(transform(filter(groups, k -> forall(k.keywords, w -> contains(s, w))), k -> flatten(transform(filter(k.rules, r -> s rlike r.rx), r -> transform({_places('r.rx')}, y -> struct(y.a as a, y.b as b, r.priority as priority, r.label as label))))))"
+    x = x.withColumn("all_", F.expr(tried))
     covers = "o.a <= d.a and o.b >= d.b and (o.priority > d.priority or (o.priority = d.priority and o.b - o.a > d.b - d.a))"
     x = x.withColumn("detections", F.expr(f"filter(all_, d -> not exists(all_, o -> {covers}))"))
     names = "array_join(array_sort(array_distinct({0})), ',')"

@@ -9,12 +9,13 @@ is then cut from every document.  Lines are known by a 128-bit digest.
   aggregation, first per (line, site bucket) on the map side.
 * An estimate within ``MARGIN`` of the threshold is replaced by an exact distinct
   count of just these lines.
-* Each document's boilerplate digests are gathered (bounded by its own lines) and
-  its text is filtered.
+* The places of each text's boilerplate lines are gathered (bounded by its own lines)
+  and the lines between them are joined again.
 
 Edge cases: null text stays null and has no line; null sites count as no site; a
 document may become empty and stays; repeated rows and equal or null ids are cut
-each by its own text; extra columns stay, rows are never dropped.
+each by its own text; extra columns, whatever their names, stay; rows are never dropped; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._kernels import stored
+from palimpsest.llm._kernels import fresh, stored
 
 MIN_SITES, LG_K, MARGIN = 10, 12, 0.15
+#: A boilerplate line meets its documents in so many parts.
+SALTS = 16
 
 
 def _digest(line: str) -> str:
@@ -51,20 +54,23 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with boilerplate lines cut from ``text``, and n_lines, n_removed (non-empty lines)."""
+    """docs with boilerplate lines cut from ``text``, and n_lines, n_removed (non-empty lines; columns of these names are replaced)."""
     bad = stored(boilerplate(docs, site, min_sites).select("h1", "h2"), "boilerplate")
-    own = docs.where("text is not null").selectExpr("xxhash64(text) k1", "xxhash64(1L, text) k2", "explode(split(text, '\\n')) line").where("trim(BOTH ' \\t\\r' FROM line) <> ''")
-    own = own.selectExpr("k1", "k2", f"{_digest('line')} d").selectExpr("k1", "k2", "d.h1", "d.h2")
-    # each (text, line) once before the lines of a text are gathered: copies of a text add nothing
-    gone = own.join(bad, ["h1", "h2"]).select("k1", "k2", "h1", "h2").distinct().groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone_"))
+    own = docs.where("text is not null").selectExpr("xxhash64(text) k1", "xxhash64(1L, text) k2", "posexplode(split(text, '\\n')) as (place, line)").where("trim(BOTH ' \\t\\r' FROM line) <> ''")
+    own = own.selectExpr("k1", "k2", "place", f"{_digest('line')} d").selectExpr("k1", "k2", "place", "d.h1", "d.h2", f"pmod(k1, {SALTS}) salt")
+    salted = bad.selectExpr("*", f"explode(sequence(0L, {SALTS - 1}L)) salt")
+    # each place of a text once before the places are gathered: copies of a text add nothing
+    gone = own.join(salted, ["h1", "h2", "salt"]).select("k1", "k2", "place").distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list("place")).alias("gone"))
     gone = stored(gone, "cuts")  # written, so that the join's partitions are free to be split where copies of a text meet
-    keyed = docs.drop("n_lines", "n_removed", "gone_").selectExpr("*", "xxhash64(text) k1", "xxhash64(1L, text) k2")
-    out = keyed.join(gone, ["k1", "k2"], "left").drop("k1", "k2")
-    full = "filter(split(text, '\\n'), l -> trim(BOTH ' \\t\\r' FROM l) <> '')"
-    out = out.withColumn("n_lines", F.expr(f"cast(coalesce(size({full}), 0) as long)")).withColumn("n_lines", F.expr("if(text is null, 0L, n_lines)"))
-    kept = f"filter(split(text, '\\n'), l -> not array_contains(gone_, {_digest('l')}))"
-    left = "filter(kept_, l -> trim(BOTH ' \\t\\r' FROM l) <> '')"
-    out = out.withColumn("kept_", F.expr(f"if(gone_ is null, null, {kept})"))
-    out = out.withColumn("n_removed", F.expr(f"if(gone_ is null, 0L, n_lines - cast(size({left}) as long))"))
-    out = out.withColumn("text", F.expr("if(gone_ is null, text, array_join(kept_, '\\n'))"))
-    return out.drop("gone_", "kept_").select(*docs.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
+    rest = docs.drop("n_lines", "n_removed")
+    k1, k2, gone_, lines_ = fresh([*docs.columns, "n_lines", "n_removed"], "k1", "k2", "gone", "lines")
+    gone = gone.selectExpr(f"k1 `{k1}`", f"k2 `{k2}`", f"gone `{gone_}`")
+    out = rest.withColumn(k1, F.expr("xxhash64(text)")).withColumn(k2, F.expr("xxhash64(1L, text)")).join(gone, [k1, k2], "left")
+    out = out.withColumn(lines_, F.expr("split(text, '\\n')"))
+    out = out.withColumn("n_lines", F.expr(f"if(text is null, 0L, cast(size(filter(`{lines_}`, l -> trim(BOTH ' \\t\\r' FROM l) <> '')) as long))"))
+    out = out.withColumn("n_removed", F.expr(f"cast(if(`{gone_}` is null, 0, size(`{gone_}`)) as long)"))
+    # what lies between two removed lines, for each of them and the end: linear in the lines
+    begin, end = f"if(i = 0, 0, `{gone_}`[i - 1] + 1)", f"if(i = size(`{gone_}`), size(`{lines_}`), `{gone_}`[i])"
+    kept = f"flatten(transform(sequence(0, size(`{gone_}`)), i -> slice(`{lines_}`, {begin} + 1, {end} - {begin})))"
+    out = out.withColumn("text", F.expr(f"if(`{gone_}` is null, text, array_join({kept}, '\\n'))"))
+    return out.select(*rest.columns, "n_lines", "n_removed")

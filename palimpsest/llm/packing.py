@@ -33,8 +33,11 @@ CAPACITY, OPEN_BINS, GROUP = 2048, 1024, 250_000
 #: Items arrive in lots of this size, the longest first: small ones then close the gaps that large ones leave.
 ARRIVALS = 2000
 CACHE_WORDS = 1_000_000
-#: A full stop or comma beside another mark belongs to one piece with it; elsewhere it is a piece of its own.
-_RUN = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
+#: Beside these a full stop or comma is a piece of its own: white space, and letters that stay one letter in lower case.
+_PLAIN = r"[^A-Za-z0-9 \t\n\r\f\v\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]"
+_RUN = re.compile(f"[.,]{_PLAIN}|{_PLAIN}[.,]")
+#: Below this every alphabetic character is a letter to any version of the character tables.
+_LATIN = "\u0250"
 _state: dict[str, tuple] = {}
 
 
@@ -81,16 +84,17 @@ def word_encoder(path: str):
     """texts -> list of uint32 id arrays, equal to the tokenizer's own; kept per worker process.
 
     Nothing in this tokenizer's pipeline joins characters across ASCII white
-    space (its pieces never contain any) or letters with marks, and it ignores case,
+    space (its pieces never contain any), and it ignores the case of ASCII texts,
     so the ids of a text are those of its chunks; chunks are encoded once and kept,
-    up to a bounded number.
+    up to a bounded number.  Texts that hold an added token are encoded whole.
     """
     if path not in _state:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _state[path] = (tok, tok.model, {})
-    tok, model, cache = _state[path]
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        _state[path] = (tok, tok.model, added, {})
+    tok, model, added, cache = _state[path]
 
     def learn(chunks: set[bytes]) -> None:
         rest = []
@@ -98,9 +102,9 @@ def word_encoder(path: str):
             s = c.decode("utf-8")
             if s.isalpha():  # one piece: letters only, in lower case, nothing to normalise
                 if s.isascii():
-                    cache[c] = array("H", [t.id for t in model.tokenize(s)]).tobytes()
+                    cache[c] = array("H", [t.id for t in model.tokenize(s.lower())]).tobytes()
                     continue
-                if s == s.lower() and is_normalized("NFC", s):
+                if max(s) < _LATIN and s == s.lower() and is_normalized("NFC", s):
                     cache[c] = array("H", [t.id for t in model.tokenize(c.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
                     continue
             rest.append((c, s))
@@ -111,9 +115,8 @@ def word_encoder(path: str):
 
     def cut(text: str) -> list[bytes]:
         raw = text.encode("utf-8", "replace")
-        if b"<|" in raw:  # may hold a special token, whose letters matter
-            return raw.split()
-        raw = raw.lower()
+        if text.isascii():
+            raw = raw.lower()
         if not _RUN.search(text):
             raw = raw.replace(b".", b" . ").replace(b",", b" , ")
         return raw.split()
@@ -121,14 +124,16 @@ def word_encoder(path: str):
     def encode(texts: list[str]) -> list[np.ndarray]:
         out = []
         for a in range(0, len(texts), 128):
-            chunks = [cut(t) for t in texts[a : a + 128]]
+            part = texts[a : a + 128]
+            whole = {k: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4") for k, t in enumerate(part) if any(x in t for x in added)}
+            chunks = [[] if k in whole else cut(t) for k, t in enumerate(part)]
             if len(cache) > CACHE_WORDS:
                 cache.clear()
             new = set().union(*chunks).difference(cache)
             if new:
                 learn(new)
             get = cache.__getitem__
-            out += [np.frombuffer(b"".join(map(get, c)), "<u2").astype("<u4") for c in chunks]
+            out += [whole[k] if k in whole else np.frombuffer(b"".join(map(get, c)), "<u2").astype("<u4") for k, c in enumerate(chunks)]
         return out
 
     return encode

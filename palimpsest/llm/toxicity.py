@@ -15,8 +15,8 @@ task; scoring is one scan without a shuffle.  Since the softmax is linear,
 only one number per bucket (``BUCKETS`` * 4 bytes) goes to the executors.
 
 Edge cases: null, empty and word-less texts have the score of an empty bag (the
-softmax of the bias); null ids and repeated rows pass through, one output row per
-input row; with no usable label every score is 0.
+softmax of the bias); null ids (never held out, never learned from) and repeated rows
+pass through, one output row per input row; with no usable label every score is 0.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._kernels import U64, mix, text_slices
+from palimpsest.llm._kernels import U64, mix, place_keys, text_slices
 
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 20, 8, 40, (3, 4, 5)
 MAX_POSITIVE, MAX_NEGATIVE = 1600, 2400
@@ -67,8 +67,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(len(start)) - np.repeat(first[:-1], counts)
     win_of_word = np.repeat(first_win[:-1], counts) + at * np.repeat(wins, counts) // np.repeat(counts, counts)
     x = np.where(w, c, 1).astype(U64)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(x * _run(len(x)), dtype=U64)])
-    word = mix((sums[end] - sums[start]) * _inv(len(x))[start] + (end - start).astype(U64) * _K[7])
+    size = end - start
+    edge = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+    word = mix(np.add.reduceat(c[w].astype(U64) * place_keys(0, int(size.max()))[place], edge[:-1]) + size.astype(U64) * _K[7])
     # a word counts once in a window, however often it stands there
     keep = np.sort(np.unique(mix(word + win_of_word.astype(U64) * _K[6]), return_index=True)[1])
     start, end, word, win_of_word = start[keep], end[keep], word[keep], win_of_word[keep]
@@ -89,18 +91,6 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(places), first_win
 
 
-def _run(n: int) -> np.ndarray:
-    from palimpsest.llm._kernels import _BASE, powers
-
-    return powers(_BASE, n)
-
-
-def _inv(n: int) -> np.ndarray:
-    from palimpsest.llm._kernels import _INV, powers
-
-    return powers(_INV, n)
-
-
 def _by_length(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
     part, n = [], 0
     for t in texts:

@@ -264,7 +264,8 @@ beerware 70 beer&ware (?:the )?beer ?ware <L>
 json 95 good&evil the software shall be used for good not evil
 cc0 100 identifier&cc0 spdx license identifier cc0 1 0
 cc0 90 under&cc0 <V> under <T>(?:creative commons )?cc0(?: 1 0)?(?: <L>)?
-cc0 70 cc0&universal (?:creative commons )?(?:cc0|zero)(?: 1 0| v1 0)? universal(?: cc0)?
+cc0 70 cc0&universal (?:creative commons )?cc0(?: 1 0| v1 0)? universal
+cc0 70 zero&universal creative commons zero(?: 1 0| v1 0)? universal(?: cc0)?
 cc0 60 licen&cc0 <L> (?:creative commons )?cc0(?: 1 0)?
 cc0 50 creativecommons&zero creativecommons org publicdomain zero 1 0
 cc-by 100 identifier&cc_by spdx license identifier cc by [1-4] 0

@@ -225,6 +225,7 @@ def test_neardup_pairs_among_alike_texts(spark):
 def test_neardup_splits_large_buckets(spark, monkeypatch):
     """The same with buckets of more members than are compared at once: second and third sketches, then blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "COMPARED", 150)
     monkeypatch.setattr(neardup, "SPLIT", 10)
     test_neardup_pairs_among_alike_texts(spark)
 

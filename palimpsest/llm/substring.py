@@ -352,7 +352,7 @@ def dedup_substrings(docs: DataFrame, bits: tuple[int, ...] = ()) -> DataFrame:
     known = src.where("doc_id is not null and text is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lot = min(MOST, max(PART, size // LOTS))
-    spread = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with small_batches(spark):
         hits = _resolved(known.mapInArrow(_probe(max(spread, -(-size // BUCKET_TEXT)), lot), _ROWS), _pick_hits, False, "anchors")
         n = hits.agg(F.sum(F.octet_length("at") / 4)).first()[0] or 0

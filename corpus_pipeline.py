@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame that is written as Parquet and read again as the next one's docs.
+
+Edge cases: null texts and ids pass every filter (they are neither toxic, nor copies, nor
+contaminated) and are packed as the single token 0; empty texts are one class, of which one
+stays; a text may become empty by line dedup and stays; rows that repeat are copies; extra
+columns stay up to the packing, whatever their names; an empty table gives empty results.
 """
 
 from __future__ import annotations

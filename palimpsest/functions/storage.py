@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and one machine does everything (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.environ.setdefault("PALIMPSEST_LOCAL_SHARED", "") or tempfile.mkdtemp(prefix="palimpsest-")
         os.environ["PALIMPSEST_LOCAL_SHARED"] = at
         at = f"file://{at}"

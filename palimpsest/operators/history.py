@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from palimpsest.operators.recurse import chains, closure, levels, parents
 
 
-def head_paths(revisions: DataFrame, branches: DataFrame, at: str = "head") -> DataFrame:
+def head_paths(revisions: DataFrame, branches: DataFrame, at: str = "head", limit: int | None = None) -> DataFrame:
     """(proot, branch, backing, start, revid, depth) for the first-parent chain of every branch."""
-    return chains(revisions.select("backing", "revid", "parent"), branches.select("proot", "branch", "backing", F.col(at).alias("start")))
+    return chains(revisions.select("backing", "revid", "parent"), branches.select("proot", "branch", "backing", F.col(at).alias("start")), limit)
 
 
 def within_result(rows: DataFrame, keys: list[str]) -> DataFrame:

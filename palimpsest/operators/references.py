@@ -34,6 +34,11 @@ def reachable(edges: DataFrame, roots: DataFrame, key: str = "proot") -> DataFra
     return closure(edges, roots, key).select(key, "node").distinct()
 
 
+def collecting(revisions: DataFrame, period: int = 1000) -> DataFrame:
+    """The revisions after which garbage is collected."""
+    return revisions.where((F.col("revid") + 1) % period == 0)
+
+
 def tokens(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, term, pos): lower-case runs of ASCII letters and digits; other non-ASCII characters belong to terms."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z\\x{80}-\\x{10FFFF}]+"), F.lit(0))

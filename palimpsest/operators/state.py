@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.recurse import chains
+from palimpsest.functions.storage import stored
+from palimpsest.operators.recurse import chains, longest
 
 
 def state_at(revisions: DataFrame, starts: DataFrame, base: str | None = None) -> DataFrame:
@@ -40,3 +41,19 @@ def same_graph(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in a.columns if c not in keys]
     both = a.select(*keys, F.struct(*rest).alias("x")).join(b.select(*keys, F.struct(*rest).alias("y")), keys, "full")
     return both.groupBy(*keys[:-1]).agg(F.bool_and(F.col("x").eqNullSafe(F.col("y"))).alias("equal"))
+
+
+def states(revisions: DataFrame, value: str) -> DataFrame:
+    """(backing, revid, state): the full state of every revision, a map from item to the value of its nearest writer.
+
+    Doubling: what the nearest 1, 2, 4, … revisions wrote, over what as many before them wrote; a round is one join.
+    """
+    now = revisions.select("backing", "revid", F.col("parent").alias("before"), F.create_map("item", value).alias("state"))
+    reach, most = 1, longest(revisions)
+    now = stored(now, "states")
+    while reach < most:
+        older = now.selectExpr("backing", "revid before", "before further", "state older")
+        both = now.join(older, ["backing", "before"], "left")
+        grown = "if(older is null, state, map_concat(state, map_filter(older, (x, v) -> not map_contains_key(state, x))))"
+        now, reach = stored(both.selectExpr("backing", "revid", "further before", f"{grown} state"), "states"), 2 * reach
+    return now.select("backing", "revid", "state")

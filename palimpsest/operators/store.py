@@ -1,7 +1,8 @@
 """Writing: revisions, transactions with optimistic checks, snapshots; versioned Parquet folders with a pointer file.
 
-A transaction writes new files beside the old ones and moves the pointer last, so readers see
-all of it or nothing; files of a failed attempt are never pointed at.
+A transaction writes new files beside the old ones, claims the next version's number and lists it last, so readers
+see all of it or nothing; files of a failed attempt are never listed. A writer that dies between claim and listing
+leaves a claim that an operator must remove.
 """
 
 from __future__ import annotations
@@ -22,37 +23,58 @@ class ConflictError(Exception):
 
 
 class Store:
-    """Tables in versioned folders under one path; the pointer is a one-row table written last."""
+    """Tables in versioned folders under one path; a version's empty file in ``_versions`` is written last."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def version(self) -> str | None:
-        """The newest complete version, by its number."""
-        try:
-            row = self.spark.read.json(f"{self.path}/_versions", schema="number long, name string").orderBy(F.desc("number")).first()
-        except Exception as e:  # no version was ever written
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return row.name if row else None
+        """The newest complete version. A version is complete once its claim names a folder."""
+        fs, at = self._fs(f"{self.path}/_versions")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+        return names[-1] if names else None
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.version()}/{table}")
 
     def commit(self, tables: dict[str, DataFrame], expected: DataFrame | None = None) -> str:
-        """Writes all tables as a new version. expected (proot, txn_id) must equal the stored numbers; written roots get txn_id + 1."""
-        if expected is not None and self.version():
-            have = self.read("proots").select("proot", F.col("txn_id").alias("_have"))
-            if not expected.join(have, "proot").where("_have <> txn_id").isEmpty():
-                raise ConflictError("a root was changed by another transaction")
-        number = 1 + (int(self.version().split("-")[0]) if self.version() else 0)
-        name = f"{number:08d}-{uuid.uuid4().hex[:8]}"
+        """Writes all tables as a new version; in ``proots`` the written roots get txn_id + 1.
+
+        expected (proot, txn_id) must equal the stored numbers. The version after the one that was read is claimed by
+        creating its file, which only one writer can: a writer that comes second fails and its files are never read.
+        """
+        old = self.version()
+        if old:
+            have = self.spark.read.parquet(f"{self.path}/{old}/proots").select("proot", F.col("txn_id").alias("_have")) if expected is not None or "proots" in tables else None
+        if expected is not None and old and not expected.join(have, "proot", "left").where("_have is null or _have <> txn_id").isEmpty():
+            raise ConflictError("a root was changed by another transaction")
+        if old and "proots" in tables and tables["proots"].columns:
+            new = tables["proots"].join(have, "proot", "left")
+            tables = tables | {"proots": new.withColumn("txn_id", F.coalesce(F.col("_have") + 1, "txn_id")).drop("_have")}
+        number = 1 + (int(old) if old else 0)
+        name = f"{number:08d}"
+        work = f"{self.path}/{name}-{uuid.uuid4().hex}"
         for table, df in tables.items():
-            df.write.parquet(f"{self.path}/{name}/{table}")
-        self.spark.createDataFrame([(number, name)], "number long, name string").coalesce(1).write.mode("append").json(f"{self.path}/_versions")
+            df.write.parquet(f"{work}/{table}")
+        fs, final = self._fs(f"{self.path}/{name}")
+        source = self._fs(work)[1]
+        if not self._claim(f"{self.path}/_claims/{name}"):
+            fs.delete(source, True)
+            raise ConflictError("another transaction claimed the version")
+        fs.rename(source, final)
+        self._claim(f"{self.path}/_versions/{name}")
         return name
 
+    def _claim(self, path: str) -> bool:
+        """Creates an empty file unless it is there."""
+        fs, at = self._fs(path)
+        fs.mkdirs(at.getParent())
+        return bool(fs.createNewFile(at))
+
     def clear(self) -> str:
         """An empty version of every table."""
         old = self.version()

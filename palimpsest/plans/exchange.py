@@ -30,10 +30,17 @@ def _starts(m: CommitLog, trunk_only: bool) -> DataFrame:
 
 
 def sync_2(spark: SparkSession, d: str) -> DataFrame:
-    """Revisions that a client that has the trunk lacks."""
+    """Revisions that a client that has the trunk lacks, each with its full graph."""
     m = CommitLog(spark, d)
     have = history.ancestors(m.revisions, _starts(m, True)).select("backing", "node").distinct()
-    return history.ancestors(m.revisions, _starts(m, False)).select("backing", "node").distinct().join(have, ["backing", "node"], "left_anti")
+    lacks = history.ancestors(m.revisions, _starts(m, False)).select("backing", "node").distinct().join(have, ["backing", "node"], "left_anti")
+    full = state.states(m.revisions, "k").withColumnRenamed("revid", "node")
+    return lacks.join(full, ["backing", "node"]).selectExpr("backing", "node", "explode(state) as (item, k)")
+
+
+def sync_2_branches(spark: SparkSession, d: str) -> DataFrame:
+    """The branches that a pull response lists: live ones that do not mirror another store's (cheap copies do)."""
+    return CommitLog(spark, d).branches.where("not deleted and proot = backing").select("proot", "branch", "current", "head")
 
 
 def sync_3(spark: SparkSession, d: str) -> DataFrame:
@@ -175,13 +182,16 @@ def txt_4(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "sync_1_pull_request": sync_1, "sync_2_pull_response": sync_2, "sync_3_apply_response": sync_3, "sync_4_push_action": sync_4, "sync_5_push_response": sync_5, "sync_6_payloads": sync_6, "sync_7_change_feed": sync_7,
+    "sync_1_pull_request": sync_1, "sync_2_pull_response": sync_2, "sync_2_branch_list": sync_2_branches, "sync_3_apply_response": sync_3, "sync_4_push_action": sync_4, "sync_5_push_response": sync_5, "sync_6_payloads": sync_6, "sync_7_change_feed": sync_7,
     "cod_1_binary_round_trip": cod_1, "cod_3_json_rows": cod_3, "cod_5_tree_json": cod_5, "snk_1_delta_layout": snk_1, "exp_1_dot_graph": exp_1, "txt_1_text_diff": txt_1, "txt_2_attributed_text": txt_2, "txt_4_chunks": txt_4,
 }
 _C = "edges AS (SELECT backing, revid AS src, parent AS dst FROM revisions WHERE parent IS NOT NULL UNION SELECT backing, revid, merge_parent FROM revisions WHERE merge_parent IS NOT NULL)"
 SQL = {
     "sync_1_pull_request": f"{M} SELECT proot, string_agg(branch || ':' || current, ',' ORDER BY branch || ':' || current) AS request FROM branches WHERE NOT deleted GROUP BY 1",
-    "sync_2_pull_response": f"{M}, {_C}, ca AS (SELECT backing, current AS node FROM own WHERE NOT deleted UNION SELECT c.backing, e.dst FROM ca c JOIN edges e ON e.backing = c.backing AND e.src = c.node), ch AS (SELECT o.backing, o.current AS node FROM own o JOIN trunk t ON t.proot = o.proot AND t.branch = o.branch WHERE NOT o.deleted UNION SELECT c.backing, e.dst FROM ch c JOIN edges e ON e.backing = c.backing AND e.src = c.node) SELECT * FROM ca EXCEPT SELECT * FROM ch",
+    "sync_2_pull_response": f"{M}, {_C}, ca AS (SELECT backing, current AS node FROM own WHERE NOT deleted UNION SELECT c.backing, e.dst FROM ca c JOIN edges e ON e.backing = c.backing AND e.src = c.node), ch AS (SELECT o.backing, o.current AS node FROM own o JOIN trunk t ON t.proot = o.proot AND t.branch = o.branch WHERE NOT o.deleted UNION SELECT c.backing, e.dst FROM ch c JOIN edges e ON e.backing = c.backing AND e.src = c.node), "
+    "lk AS (SELECT * FROM ca EXCEPT SELECT * FROM ch), up AS (SELECT l.backing, l.node, l.node AS revid, 0 AS depth FROM lk l UNION ALL SELECT u.backing, u.node, r.parent, u.depth + 1 FROM up u JOIN revisions r ON r.backing = u.backing AND r.revid = u.revid WHERE r.parent IS NOT NULL) "
+    "SELECT u.backing, u.node, r.item, arg_min(r.k, u.depth) AS k FROM up u JOIN revisions r ON r.backing = u.backing AND r.revid = u.revid GROUP BY 1, 2, 3",
+    "sync_2_branch_list": f"{M} SELECT proot, branch, current, head FROM own WHERE NOT deleted",
     "sync_3_apply_response": f"{M}, b AS (SELECT * FROM branches WHERE NOT deleted) SELECT proot, branch, CASE WHEN head % 3 = 0 THEN 'new' ELSE 'old' END AS state, CASE WHEN head % 3 = 0 THEN head ELSE head - 1 END AS at FROM b WHERE head % 3 = 0 OR head % 2 = 0",
     "sync_4_push_action": f"{M} SELECT b.proot, b.branch, CASE WHEN EXISTS (SELECT 1 FROM chain c WHERE c.proot = b.proot AND c.branch = b.branch AND c.revid = t.head) THEN 'fast-forward' ELSE 'rebase' END AS action FROM branches b JOIN proots p ON p.proot = b.proot JOIN branches t ON t.proot = p.proot AND t.branch = p.current_branch",
     "sync_5_push_response": f"{M}, main AS (SELECT c.proot, c.revid FROM chain c JOIN proots p ON p.proot = c.proot AND p.current_branch = c.branch), fork AS (SELECT c.proot, c.branch, max(c.revid) AS base FROM chain c JOIN proots p ON p.proot = c.proot AND p.current_branch <> c.branch JOIN main ON main.proot = c.proot AND main.revid = c.revid GROUP BY 1, 2) SELECT f.proot, f.branch, f.base, m.revid FROM fork f JOIN main m ON m.proot = f.proot AND m.revid > f.base",

@@ -57,7 +57,7 @@ def snap_6(spark: SparkSession, d: str) -> DataFrame:
 
 def snap_7(spark: SparkSession, d: str) -> DataFrame:
     m = CommitLog(spark, d)
-    return history.head_paths(m.revisions, m.branches).where("depth <= 3").select("proot", "branch", "revid", "depth")
+    return history.head_paths(m.revisions, m.branches, limit=3).select("proot", "branch", "revid", "depth")
 
 
 def snap_8(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ def dag_3(spark: SparkSession, d: str) -> DataFrame:
 def dag_4(spark: SparkSession, d: str) -> DataFrame:
     """Path from the chain's fourth revision (exclusive) to the head (inclusive), oldest first."""
     m = CommitLog(spark, d)
-    p = recurse.chains(m.revisions.select("backing", "revid", "parent"), _heads(m))
+    p = recurse.chains(m.revisions.select("backing", "revid", "parent"), _heads(m), 4)
     from_ = p.where("depth = 4").select("backing", "start", F.col("revid").alias("begin"))
     return p.where("depth < 4").join(from_, ["backing", "start"]).selectExpr("backing", "begin", "start as stop", "revid", "3 - depth position")
 
@@ -196,7 +196,7 @@ def dag_5(spark: SparkSession, d: str) -> DataFrame:
 
 def dag_6(spark: SparkSession, d: str) -> DataFrame:
     m = CommitLog(spark, d)
-    return m.revisions.selectExpr("backing", "revid", "parent", "merge_parent").where("revid % 3 = 0")
+    return m.revisions.selectExpr("backing", "revid", "parent", "merge_parent")
 
 
 def dag_7(spark: SparkSession, d: str) -> DataFrame:
@@ -266,7 +266,7 @@ SQL = {
     "dag_3_is_ancestor": f"{M}, {_PAIR} SELECT p.backing, p.a, p.b, EXISTS (SELECT 1 FROM chain c WHERE c.proot = p.backing AND c.backing = p.backing AND c.revid = p.a AND EXISTS (SELECT 1 FROM own o WHERE o.proot = c.proot AND o.branch = c.branch AND o.head = p.b)) AS is_ancestor FROM pairs p",
     "dag_4_path": f"{M}, h AS (SELECT c.*, o.head FROM chain c JOIN own o ON o.proot = c.proot AND o.branch = c.branch) SELECT h.backing, f.revid AS begin, h.head AS stop, h.revid, CAST(3 - h.depth AS BIGINT) AS position FROM h JOIN h f ON f.proot = h.proot AND f.branch = h.branch AND f.depth = 4 WHERE h.depth < 4",
     "dag_5_missing_revisions": f"{M}, {_CLOSE}, known AS (SELECT c.backing, c.node FROM closed c JOIN trunk t ON t.proot = c.backing JOIN own o ON o.proot = t.proot AND o.branch = t.branch AND o.head = c.start) SELECT DISTINCT backing, node FROM closed EXCEPT SELECT backing, node FROM known",
-    "dag_6_parent_lookup": f"{M} SELECT backing, revid, parent, merge_parent FROM revisions WHERE revid % 3 = 0",
+    "dag_6_parent_lookup": f"{M} SELECT backing, revid, parent, merge_parent FROM revisions",
     "dag_7_topological_sort": f"{M}, {_LEVELS} SELECT * FROM topo",
     "dag_8_insertion_order": f"{M}, {_LEVELS} SELECT backing, node, row_number() OVER (PARTITION BY backing ORDER BY level, node) AS position FROM topo",
     "dag_9_containment_cycles": f"{M}, {_STATE}, e AS (SELECT h.proot, h.item AS src, (h.k * 3 + 1) % 20 AS dst FROM heads h JOIN proots p ON p.proot = h.proot AND p.current_branch = h.branch WHERE h.k % 3 = 0), reach AS (SELECT proot, src, dst AS node FROM e UNION SELECT r.proot, r.src, e.dst FROM reach r JOIN e ON e.proot = r.proot AND e.src = r.node) SELECT DISTINCT proot, CAST(src AS BIGINT) AS item FROM reach WHERE src = node",

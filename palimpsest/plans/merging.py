@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.storage import stored
@@ -157,11 +157,26 @@ def mrg_10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mrg_11(spark: SparkSession, d: str) -> DataFrame:
-    """Rebase of a branch's own work onto the trunk: its edits since the fork win over the trunk's state."""
+    """Rebase of each branch's revisions since the fork onto the trunk's head: the rebased revisions, one after another.
+
+    The merge base of each step is the source revision before it and the source wins, so a step writes the attributes that its source
+    revision changed; the others of its item stay as the steps before it, or the trunk, left them.
+    """
     m = CommitLog(spark, d)
-    base, mine, theirs = sides(m)
-    e = stored(D.merged(("target", D.diff(base, mine, K)), ("source", D.diff(base, theirs, K))), "edits")
-    return D.apply(base, D.favour(e, K, "source"), K).where("attr in ('k', 'kind')").select(*K, "item", "attr", "val")
+    scalar = "attr in ('k', 'kind')"
+    base, onto, _ = (x.where(scalar).select(*K, "item", "attr", "val") for x in sides(m))
+    paths = history.head_paths(m.revisions, m.branches).join(m.proots.select("proot", F.col("current_branch").alias("t")), "proot")
+    main = paths.where("branch = t").select("proot", "revid")
+    fork = paths.where("branch <> t").join(main, ["proot", "revid"], "left_semi").groupBy(*K).agg(F.max("revid").alias("fork"))
+    steps = paths.join(fork, K).where("revid > fork").join(m.revisions.selectExpr("backing", "revid", "item", "k", "branch kind"), ["backing", "revid"])
+    steps = steps.withColumn("position", F.row_number().over(Window.partitionBy(*K).orderBy("revid")))
+    writes = D.long_form(steps.select(*K, "position", "revid", "item", "k", "kind"), [*K, "position", "revid"]).where(scalar).select(*K, "position", "revid", "item", "attr", "val")
+    own = Window.partitionBy(*K, "item", "attr").orderBy("position")
+    on = [*K, "item", "attr"]
+    x = writes.join(base.withColumnRenamed("val", "base_val"), on, "left").join(onto.withColumnRenamed("val", "onto_val"), on, "left")
+    x = x.withColumn("before", F.coalesce(F.lag("val").over(own), "base_val")).withColumn("edit", F.when(~F.col("val").eqNullSafe(F.col("before")), F.col("val")))
+    x = x.withColumn("last_edit", F.last("edit", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.select(*K, "position", F.col("revid").alias("source_revid"), "item", "attr", F.coalesce("last_edit", "onto_val").alias("val"))
 
 
 def cpy_1(spark: SparkSession, d: str) -> DataFrame:
@@ -226,6 +241,11 @@ SQL = {
     "mrg_9_three_way": f"{_E}, {_PUT} SELECT proot, branch, item, attr, coalesce(rt, bt) AS type, CASE WHEN kind = 'set' THEN rv ELSE bv END AS val FROM done WHERE kind IS DISTINCT FROM 'delete'",
     "mrg_10_selective_undo": f"{M}, n0 AS (SELECT c.proot, c.branch, c.depth, r.item, r.k, r.branch AS kind FROM chain c JOIN revisions r ON r.backing = c.backing AND r.revid = c.revid JOIN branches b ON b.proot = c.proot AND b.branch = c.branch JOIN revisions h ON h.backing = b.backing AND h.revid = b.head WHERE h.parent IS NOT NULL), a AS (SELECT proot, branch, item, arg_min(k, depth) AS k, arg_min(kind, depth) AS kind FROM n0 GROUP BY 1, 2, 3), b AS (SELECT proot, branch, item, arg_min(k, depth) AS k, arg_min(kind, depth) AS kind FROM n0 WHERE depth > 0 GROUP BY 1, 2, 3), u AS (SELECT proot, branch, item, coalesce(b.k, a.k) AS k, coalesce(b.kind, a.kind) AS kind FROM a FULL JOIN b USING (proot, branch, item)) SELECT proot, branch, item, 'k' AS attr, CAST(k AS VARCHAR) AS val FROM u UNION ALL SELECT proot, branch, item, 'kind', kind FROM u",
     "cpy_1_copy_subgraph": f"{M}, st AS (SELECT c.proot, r.item, arg_min(r.k, c.depth) AS k FROM chain c JOIN proots p ON p.proot = c.proot AND p.current_branch = c.branch JOIN revisions r ON r.backing = c.backing AND r.revid = c.revid GROUP BY 1, 2), part AS (SELECT p.proot, r.item FROM proots p JOIN revisions r ON r.backing = p.backing AND r.revid = 0 UNION SELECT x.proot, (s.k * 3 + 1) % 20 FROM part x JOIN st s ON s.proot = x.proot AND s.item = x.item WHERE s.k % 3 = 0) SELECT st.proot, st.item, st.k, sha1(st.proot || '/' || st.item || '/copy') AS new_item FROM part JOIN st USING (proot, item)",
-    "mrg_11_rebase": f"{_E}, {_PUT} SELECT proot, branch, item, attr, CASE WHEN kind = 'set' THEN rv ELSE bv END AS val FROM done WHERE attr <> 'extra' AND kind IS DISTINCT FROM 'delete'",
+    "mrg_11_rebase": f"""{_B}, src AS (SELECT c.proot, c.branch, c.revid, r.item, r.k, r.branch AS kind, CAST(row_number() OVER (PARTITION BY c.proot, c.branch ORDER BY c.revid) AS INT) AS position
+  FROM chain c JOIN meet m ON m.proot = c.proot AND m.branch = c.branch AND c.revid > m.s JOIN revisions r ON r.backing = c.backing AND r.revid = c.revid),
+wr AS (SELECT proot, branch, position, revid, item, 'k' AS attr, CAST(k AS VARCHAR) AS val FROM src UNION ALL SELECT proot, branch, position, revid, item, 'kind', kind FROM src),
+ed AS (SELECT w.*, m.val AS onto_val, CASE WHEN w.val IS DISTINCT FROM coalesce(lag(w.val) OVER (PARTITION BY w.proot, w.branch, w.item, w.attr ORDER BY position), b.val) THEN w.val END AS edit
+  FROM wr w LEFT JOIN ab b ON b.proot = w.proot AND b.branch = w.branch AND b.item = w.item AND b.attr = w.attr LEFT JOIN am m ON m.proot = w.proot AND m.branch = w.branch AND m.item = w.item AND m.attr = w.attr)
+SELECT proot, branch, position, revid AS source_revid, item, attr, coalesce(last_value(edit IGNORE NULLS) OVER (PARTITION BY proot, branch, item, attr ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), onto_val) AS val FROM ed""",
 }
-SQL = {k: q.replace("source = '{}'", "source = 'other'" if k == "mrg_11_rebase" else "source = 'self'") for k, q in SQL.items()}
+SQL = {k: q.replace("source = '{}'", "source = 'self'") for k, q in SQL.items()}

@@ -86,8 +86,8 @@ def gc_2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gc_3(spark: SparkSession, d: str) -> DataFrame:
-    """Which commits collect garbage: every hundredth of a root (the period is a parameter)."""
-    return CommitLog(spark, d).revisions.where("(revid + 1) % 50 = 0").select("backing", "revid")
+    """Which commits collect garbage: every fiftieth of a log here; the model's own period is a thousand."""
+    return R.collecting(CommitLog(spark, d).revisions, 50).select("backing", "revid")
 
 
 def fts_1(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +101,12 @@ def fts_2(spark: SparkSession, d: str) -> DataFrame:
     return R.phrase(t, ["conv_id", "turn"], ["of", "the"])
 
 
+def fts_2_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of a phrase, repeated for every root that shares the backing store with the text (a store's texts are the conversations of its number)."""
+    m = CommitLog(spark, d)
+    return fts_2(spark, d).withColumnRenamed("conv_id", "backing").join(m.proots.select("proot", "backing"), "backing").select("proot", "backing", "turn")
+
+
 def fts_2_boolean(spark: SparkSession, d: str) -> DataFrame:
     t = R.tokens(CommitLog(spark, d).table("conversations"), ["conv_id", "turn"], "text")
     return R.boolean(t, ["conv_id", "turn"], every=["the"], some=["with", "from"], none=["what"])
@@ -134,7 +140,7 @@ _T = "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[0-9a-z\
 
 QUERIES = {
     "ref_1_index": ref_1, "ref_2_to_root": ref_2, "ref_3_referring_objects": ref_3, "ref_4_univalued_inverse": ref_4, "ref_5_all_referring": ref_5, "ref_6_resolve_path": ref_6, "ref_7_dead_references": ref_7, "ref_8_one_parent": ref_8,
-    "tag_1_descriptions": tag_1, "gc_1_reachable": gc_1, "gc_2_remove_unreachable": gc_2, "gc_3_cadence": gc_3, "fts_1_index": fts_1, "fts_2_phrase": fts_2, "fts_2_boolean": fts_2_boolean, "fts_2_prefix": fts_2_prefix,
+    "tag_1_descriptions": tag_1, "gc_1_reachable": gc_1, "gc_2_remove_unreachable": gc_2, "gc_3_cadence": gc_3, "fts_1_index": fts_1, "fts_2_phrase": fts_2, "fts_2_hits_of_roots": fts_2_roots, "fts_2_boolean": fts_2_boolean, "fts_2_prefix": fts_2_prefix,
     "att_1_import": att_1, "att_2_enumerate": att_2, "cmp_6_attachment_gc": cmp_6,
 }
 SQL = {
@@ -152,6 +158,8 @@ SQL = {
     "gc_3_cadence": f"{M} SELECT backing, revid FROM revisions WHERE (revid + 1) % 50 = 0",
     "fts_1_index": f"{_T} SELECT conv_id, turn, count(*) AS n_terms, count(DISTINCT term) AS n_distinct FROM t GROUP BY 1, 2",
     "fts_2_phrase": f"{_T} SELECT DISTINCT a.conv_id, a.turn FROM t a JOIN t b USING (conv_id, turn) WHERE a.term = 'of' AND b.term = 'the' AND b.pos = a.pos + 1",
+    "fts_2_hits_of_roots": f"{M}, {_T[5:]}, h AS (SELECT DISTINCT a.conv_id, a.turn FROM t a JOIN t b USING (conv_id, turn) WHERE a.term = 'of' AND b.term = 'the' AND b.pos = a.pos + 1) "
+    "SELECT p.proot, p.backing, h.turn FROM h JOIN proots p ON p.backing = h.conv_id",
     "fts_2_boolean": f"{_T} SELECT conv_id, turn FROM t GROUP BY 1, 2 HAVING bool_or(term = 'the') AND bool_or(term IN ('with', 'from')) AND NOT bool_or(term = 'what')",
     "fts_2_prefix": f"{_T} SELECT DISTINCT a.conv_id, a.turn FROM t a JOIN t b USING (conv_id, turn) WHERE a.term = 'in' AND starts_with(b.term, 'th') AND b.pos = a.pos + 1",
     "att_1_import": "SELECT sha1(html) AS attachment, min(page_id) AS first_page, CAST(max(strlen(html)) AS BIGINT) AS n_bytes, count(*) AS n_pages FROM pages GROUP BY 1",

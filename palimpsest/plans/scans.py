@@ -83,7 +83,7 @@ def src_13(spark: SparkSession, d: str) -> DataFrame:
 
 def src_14(spark: SparkSession, d: str) -> DataFrame:
     m = CommitLog(spark, d)
-    wanted = m.table("events").where("event_id % 11 = 0").select(F.col("event_id").alias("rev"))
+    wanted = m.table("events").select(F.col("event_id").alias("rev"))
     return m.revisions.join(wanted, "rev", "left_semi").select("rev", "backing", "revid")
 
 
@@ -304,7 +304,7 @@ def agg_4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sort_1(spark: SparkSession, d: str) -> DataFrame:
-    return CommitLog(spark, d).revisions.where("backing < 3").select("backing", "revid", "rev").orderBy("backing", F.desc("revid"))
+    return CommitLog(spark, d).revisions.select("backing", "revid", "rev").orderBy("backing", F.desc("revid"))
 
 
 def lim_1(spark: SparkSession, d: str) -> DataFrame:
@@ -366,7 +366,7 @@ SQL = {
     "src_11_root_item": f"{M} SELECT p.proot, r.item AS root_item FROM proots p JOIN revisions r ON r.backing = p.backing AND r.revid = 0",
     "src_12_branches_by_metadata": f"{M} SELECT proot, branch FROM branches WHERE parent_branch = 'view'",
     "src_13_used_range": f"{M} SELECT backing, min(revid) AS low, max(revid) AS high, count(*) AS used, max(revid) - min(revid) + 1 AS dense FROM revisions GROUP BY 1",
-    "src_14_revision_ids": f"{M} SELECT rev, backing, revid FROM revisions WHERE rev % 11 = 0",
+    "src_14_revision_ids": f"{M} SELECT rev, backing, revid FROM revisions",
     "src_15_has_revision": f"{M} SELECT backing, bool_or(revid = 65) AS has_revid FROM revisions GROUP BY 1",
     "src_16_sizes": f"{M} SELECT p.proot, s.n AS export_size, CASE WHEN p.proot = p.backing THEN s.n ELSE 0 END AS used_size FROM proots p JOIN (SELECT backing, CAST(sum(length(CAST(k AS VARCHAR)) + length(branch)) AS BIGINT) AS n FROM revisions GROUP BY 1) s ON s.backing = p.backing",
     "src_18_report": f"{M} SELECT 'backing ' || backing || ' revisions ' || count(*) || ' newest ' || max(revid) AS line, backing FROM revisions GROUP BY backing",
@@ -402,7 +402,7 @@ SQL = {
     "agg_2_distinct": f"{M} SELECT DISTINCT backing, branch FROM revisions",
     "agg_3_group_lists": f"{M} SELECT backing, string_agg(CAST(proot AS VARCHAR), ',' ORDER BY proot) AS proots FROM proots GROUP BY 1",
     "agg_4_argmax": f"{M} SELECT proot, arg_max(track, seq) AS last_track, max(seq) AS last_seq FROM commands GROUP BY 1",
-    "sort_1_descending": f"{M} SELECT backing, revid, rev FROM revisions WHERE backing < 3 ORDER BY backing, revid DESC",
+    "sort_1_descending": f"{M} SELECT backing, revid, rev FROM revisions ORDER BY backing, revid DESC",
     "lim_1_first_row": f"{M} SELECT backing, revid FROM revisions WHERE backing = 5 AND branch = 'view' ORDER BY revid DESC LIMIT 1",
     "set_1_value_sets": f"{M}, e AS (SELECT backing AS proot, revid, unnest([k % 5, k % 3, 7]) AS x, item % 5 AS b FROM revisions), n AS (SELECT DISTINCT * FROM e), u AS (SELECT proot, revid, x FROM n UNION SELECT proot, revid, b FROM n) SELECT p.proot, p.revid, p.minus, p.common, q.either FROM (SELECT proot, revid, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FILTER (WHERE x <> b AND x <> 7), '') AS minus, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FILTER (WHERE x = b OR x = 7), '') AS common FROM n GROUP BY 1, 2) p JOIN (SELECT proot, revid, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS either FROM u GROUP BY 1, 2) q USING (proot, revid)",
     "set_2_revision_sets": f"{M} (SELECT backing, revid FROM revisions WHERE k % 2 = 0 UNION SELECT backing, revid FROM revisions WHERE revid < 5) EXCEPT SELECT backing, revid FROM revisions WHERE k % 3 = 0",

@@ -75,13 +75,13 @@ class CommitLog:
     @cached_property
     def commands(self) -> DataFrame:
         """One set-version command per revision; the sequence number follows (ts, rev)."""
-        # a total order over all events: ranks inside ranges of time plus the sizes of the ranges before, so no single task sorts all
-        r = self.revisions.withColumn("day", F.to_date("ts"))
-        sizes = r.groupBy("day").agg(F.count("*").alias("n"))
-        before = sizes.alias("a").join(sizes.alias("b"), F.col("b.day") < F.col("a.day"), "left").groupBy(F.col("a.day").alias("day")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("skip"))
-        rank = F.row_number().over(Window.partitionBy("day").orderBy("ts", "rev"))
-        r = r.withColumn("rank", rank).join(F.broadcast(before), "day")  # one row per calendar day
-        return r.select((F.col("skip") + F.col("rank")).cast("long").alias("seq"), F.concat_ws(".", F.lit("user"), F.col("backing").cast("string"), F.col("branch")).alias("track"), F.col("backing").alias("proot"), "branch", F.col("parent").alias("old"), F.col("revid").alias("new"), "k")
+        # a total order over all events: places inside sampled ranges of (ts, rev) plus the sizes of the ranges before, so no task sorts more than a range
+        r = self.revisions.repartitionByRange("ts", "rev").sortWithinPartitions("ts", "rev")
+        r = stored(r.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranges")
+        sizes = r.groupBy("part").agg(F.count("*").alias("n"))
+        before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("skip"))
+        r = r.join(F.broadcast(before), "part")  # one row per shuffle partition
+        return r.select((F.col("skip") + F.col("place") + 1).cast("long").alias("seq"), F.concat_ws(".", F.lit("user"), F.col("backing").cast("string"), F.col("branch")).alias("track"), F.col("backing").alias("proot"), "branch", F.col("parent").alias("old"), F.col("revid").alias("new"), "k")
 
 
 #: The same tables in SQL, for the oracle: a list of common table expressions.

@@ -75,3 +75,45 @@ def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([("p", 1, 2), ("p", 2, 3), ("p", 3, 1)], "backing string, src long, dst long")
     got = recurse.closure(edges, spark.createDataFrame([("p", 1)], "backing string, start long"))
     assert sorted((x.node, x.depth) for x in got.collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_states_of_all_revisions(spark):
+    """Doubling against a walk, with a fork and a chain longer than a power of two."""
+    from palimpsest.operators.state import states
+
+    rows = [(0, i, None if i == 0 else (i - 1 if i != 7 else 2), i % 4, i * 3) for i in range(21)]
+    df = spark.createDataFrame(rows, "backing long, revid long, parent long, item int, k int")
+    got = {r.revid: r.state for r in states(df, "k").collect()}
+    for _, rev, *_ in rows:
+        want, at = {}, rev
+        while at is not None:
+            want.setdefault(rows[at][3], rows[at][4])
+            at = rows[at][2]
+        assert got[rev] == want
+
+
+def test_chains_stop_at_their_limit(spark):
+    from palimpsest.operators.recurse import chains
+
+    line = spark.createDataFrame([(0, i, i - 1 if i else None) for i in range(40)], "backing long, revid long, parent long")
+    start = spark.createDataFrame([(0, 39)], "backing long, start long")
+    for limit in (0, 1, 3, 5, 39, 50, None):
+        got = sorted((r.depth, r.revid) for r in chains(line, start, limit).collect())
+        assert got == [(d, 39 - d) for d in range(min(39, 39 if limit is None else limit) + 1)]
+
+
+def test_long_closure_with_a_cycle(spark):
+    from palimpsest.operators.recurse import closure
+
+    edges = spark.createDataFrame([(0, i, (i + 1) % 50) for i in range(50)] + [(0, 3, 30)], "backing long, src long, dst long")
+    got = {r.node: r.depth for r in closure(edges, spark.createDataFrame([(0, 0)], "backing long, start long")).collect()}
+    want = {i: i if i <= 3 else min(i, 4 + i - 30) if i >= 30 else i for i in range(50)}
+    assert got == want
+
+
+def test_commands_are_numbered_without_a_gap(spark):
+    from palimpsest.sources.commit_log import CommitLog
+
+    m = CommitLog(spark, "/root/testdata/sf0.001")
+    seqs = [r.seq for r in m.commands.select("seq").collect()]
+    assert sorted(seqs) == list(range(1, len(seqs) + 1))

@@ -14,14 +14,36 @@ def test_transactions(spark, tmp_path):
     roots = lambda n: spark.createDataFrame([(1, n)], "proot long, txn_id long")
     first = s.commit({"proots": roots(1)})
     assert s.version() == first and s.read("proots").first().txn_id == 1
-    s.commit({"proots": roots(2)}, expected=roots(1))
+    s.commit({"proots": roots(1)}, expected=roots(1))
+    assert s.read("proots").first().txn_id == 2  # the store counts, whatever the writer says
     with pytest.raises(ConflictError):
-        s.commit({"proots": roots(3)}, expected=roots(1))
+        s.commit({"proots": roots(1)}, expected=roots(1))
+    with pytest.raises(ConflictError):
+        s.commit({"proots": roots(1)}, expected=spark.createDataFrame([(7, 1)], "proot long, txn_id long"))
     assert s.read("proots").first().txn_id == 2
     s.clear()
     assert s.read("proots").count() == 0
 
 
+def test_only_one_of_two_writers_commits(spark, tmp_path, monkeypatch):
+    """Both read version 1 and pass the check; the second to claim version 2 fails and leaves nothing to read."""
+    one, two = (Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    roots = spark.createDataFrame([(1, 1)], "proot long, txn_id long")
+    one.commit({"proots": roots})
+    claim = Store._claim
+
+    def late(self, path):
+        if self is two and "_claims" in path:
+            one.commit({"proots": roots}, expected=roots)
+        return claim(self, path)
+
+    monkeypatch.setattr(Store, "_claim", late)
+    with pytest.raises(ConflictError):
+        two.commit({"proots": roots}, expected=roots)
+    assert one.version() == two.version() == "00000002" and one.read("proots").first().txn_id == 2
+    assert sorted(x.name for x in (tmp_path / "store").iterdir() if not x.name.startswith(("_", "."))) == ["00000001", "00000002"]
+
+
 def test_feed_stream_equals_batch(spark, tmp_path):
     rows = [(1, 5, 0), (1, 4, 1), (2, 1, 2), (1, 6, 3), (2, 1, 4), (2, 3, 5), (1, 6, 6)]
     df = spark.createDataFrame(rows, feed.FEED)

@@ -229,6 +229,11 @@ def among(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     return marked(rows, ", ".join(keys), wanted, ", ".join(keys))[0]
 
 
-def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager:
-    """Bounds the Arrow batches of the steps inside (long texts make 10,000 rows too many)."""
-    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000", spark__sql__execution__arrow__maxBytesPerBatch="8m")
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get, where the session has the defaults (long texts make 10,000 rows too many).
+
+    A setting of the session, since results are computed after an operator has returned.
+    """
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)

@@ -179,7 +179,8 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, open_bins: in
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenizes, cuts and packs documents; the pieces are written once, since their number sets the number of groups."""
-    from palimpsest.llm._kernels import stored
+    from palimpsest.llm._kernels import small_batches, stored
 
+    small_batches(docs.sparkSession)
     cut = stored(pieces(docs, tokenizer, capacity), "pieces")
     return pack(cut, cut.count(), capacity)

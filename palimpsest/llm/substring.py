@@ -353,21 +353,21 @@ def dedup_substrings(docs: DataFrame, bits: tuple[int, ...] = ()) -> DataFrame:
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lot = min(MOST, max(PART, size // LOTS))
     spread = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with small_batches(spark):
-        hits = _resolved(known.mapInArrow(_probe(max(spread, -(-size // BUCKET_TEXT)), lot), _ROWS), _pick_hits, False, "anchors")
-        n = hits.agg(F.sum(F.octet_length("at") / 4)).first()[0] or 0
-        buckets = max(spread, -(-int(n) // BUCKET_WINDOWS))
-        seed = 0
-        while True:
-            seed += 1
-            mask = bits[seed - 1] if seed <= len(bits) else ALL_BITS
-            near = among(known, hits, "doc_id", "text_hash").join(hits, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at")
-            repeats = _resolved(near.mapInArrow(_extend(buckets, lot, seed, mask), _ROWS), _pick_repeats, True, "repeats")
-            joined = src.join(repeats, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "at")
-            cut = stored(joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, claims array<struct<doc:long,own:long,n:long,digest:binary>>"), "cut")
-            dropped(repeats)
-            if not _refuted(known, cut):
-                break
-            dropped(cut)
-        dropped(hits)
+    small_batches(spark)
+    hits = _resolved(known.mapInArrow(_probe(max(spread, -(-size // BUCKET_TEXT)), lot), _ROWS), _pick_hits, False, "anchors")
+    n = hits.agg(F.sum(F.octet_length("at") / 4)).first()[0] or 0
+    buckets = max(spread, -(-int(n) // BUCKET_WINDOWS))
+    seed = 0
+    while True:
+        seed += 1
+        mask = bits[seed - 1] if seed <= len(bits) else ALL_BITS
+        near = among(known, hits, "doc_id", "text_hash").join(hits, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at")
+        repeats = _resolved(near.mapInArrow(_extend(buckets, lot, seed, mask), _ROWS), _pick_repeats, True, "repeats")
+        joined = src.join(repeats, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "at")
+        cut = stored(joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, claims array<struct<doc:long,own:long,n:long,digest:binary>>"), "cut")
+        dropped(repeats)
+        if not _refuted(known, cut):
+            break
+        dropped(cut)
+    dropped(hits)
     return cut.drop("claims")

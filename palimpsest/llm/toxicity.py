@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._kernels import U64, mix, place_keys, text_slices
+from palimpsest.llm._kernels import U64, mix, place_keys, small_batches, text_slices
 
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 20, 8, 40, (3, 4, 5)
 MAX_POSITIVE, MAX_NEGATIVE = 1600, 2400
@@ -214,12 +214,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with a column ``score``; extra columns stay."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.select("doc_id", "toxic")))  # BUCKETS * 4 bytes, whatever the input
     keep = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
-        for t in text_slices(batches, 1 << 20):
+        for t in text_slices(batches, 1 << 19):
             texts = [x or "" for x in t.rows.column(t.rows.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*t.rows.columns, pa.array(scores(texts, weight, bias))], [*t.rows.schema.names, "score"])
 

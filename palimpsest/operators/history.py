@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.recurse import chains, closure, levels, parents
+from palimpsest.functions.storage import stored
+from palimpsest.operators.recurse import HOPS, chains, closure, levels, parents
 
 
 def head_paths(revisions: DataFrame, branches: DataFrame, at: str = "head", limit: int | None = None) -> DataFrame:
@@ -58,30 +61,34 @@ def ancestors(revisions: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def common_ancestor(revisions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """First revision met breadth first from b (a parent before a merge parent) that is a's ancestor or a.
+    """First revision met breadth first from b (a parent before a merge parent) that is a's ancestor or a; null if none.
 
     pairs: (backing, a, b). The order among revisions of one level is the order in which
-    a queue would reach them, carried as a path of 0 (parent) and 1 (merge parent).
+    a queue would reach them, carried as a path of 0 (parent) and 1 (merge parent) over the
+    HOPS steps of a job and as a place in the last level before.  Pairs stop at their first hit.
     """
+    pair = ["backing", "a", "b"]
     of_a = ancestors(revisions, pairs.select("backing", F.col("a").alias("start"))).select("backing", F.col("start").alias("a"), F.col("node"))
     edges = parents(revisions).select("backing", "src", "dst", F.col("merge").cast("int").cast("string").alias("turn"))
-    from palimpsest.functions.storage import stored
-
-    level = pairs.select("backing", "a", "b", F.col("b").alias("node"), F.lit("").alias("path"))
-    found, seen, depth = None, None, 0
+    fresh = stored(pairs.select(*pair, F.col("b").alias("node"), F.lit("").alias("path"), F.lit(0).cast("long").alias("depth")).distinct(), "bfs")
+    found, seen, done = [], fresh, 0
+    place = Window.partitionBy(*pair).orderBy("path")
     while True:
-        level = stored(level.withColumn("depth", F.lit(depth).cast("long")), "bfs")
-        if level.isEmpty():
+        hit = stored(fresh.join(of_a, ["backing", "a", "node"]).groupBy(*pair).agg(F.min_by("node", F.struct("depth", "path")).alias("ancestor")), "hit")
+        found.append(hit)
+        front = fresh.where(F.col("depth") == done).join(hit, pair, "left_anti")
+        step = stored(front.withColumn("path", F.lpad(F.row_number().over(place).cast("string"), 10, "0")), "front")
+        if step.isEmpty():
             break
-        hit = level.join(of_a, ["backing", "a", "node"]).groupBy("backing", "a", "b").agg(F.min_by("node", "path").alias("ancestor"))
-        hit = stored(hit, "hit")
-        found = hit if found is None else found.unionByName(hit)
-        seen = level.select("backing", "a", "b", "node") if seen is None else seen.unionByName(level.select("backing", "a", "b", "node"))
-        go = level.join(hit, ["backing", "a", "b"], "left_anti")
-        step = go.join(edges, "backing").where("node = src").groupBy("backing", "a", "b", F.col("dst").alias("node")).agg(F.min(F.concat("path", "turn")).alias("path"))
-        level = step.join(seen, ["backing", "a", "b", "node"], "left_anti")
-        depth += 1
-    return pairs.join(found, ["backing", "a", "b"], "left")
+        reached = None
+        for _ in range(HOPS):
+            on = step.join(edges, "backing").where("node = src")
+            step = on.groupBy(*pair, F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).agg(F.min(F.concat("path", "turn")).alias("path")).select(*pair, "node", "path", "depth")
+            reached = step if reached is None else reached.unionByName(step)
+        first = reached.groupBy(*pair, "node").agg(F.min(F.struct("depth", "path")).alias("at")).select(*pair, "node", "at.path", "at.depth")
+        fresh, done = stored(first.join(seen, [*pair, "node"], "left_anti"), "bfs"), done + HOPS
+        seen = stored(seen.unionByName(fresh), "seen") if len(found) % 8 == 0 else seen.unionByName(fresh)
+    return pairs.join(reduce(DataFrame.unionByName, found), pair, "left")
 
 
 def topological(revisions: DataFrame) -> DataFrame:

@@ -124,8 +124,9 @@ def snk_3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snk_4(spark: SparkSession, d: str) -> DataFrame:
-    c = CommitLog(spark, d).commands.where("k < 50")
-    return c.groupBy("proot", "branch").agg(F.max_by("new", "seq").alias("last_set"))
+    """Last revision set for each branch inside each transaction, a hundred actions in order."""
+    c = CommitLog(spark, d).commands.withColumn("txn", F.expr("(seq - 1) div 100"))
+    return c.groupBy("txn", "proot", "branch").agg(F.max_by("new", "seq").alias("last_set"))
 
 
 def _attrs(spark: SparkSession, d: str) -> DataFrame:
@@ -372,7 +373,7 @@ SQL = {
     "src_18_report": f"{M} SELECT 'backing ' || backing || ' revisions ' || count(*) || ' newest ' || max(revid) AS line, backing FROM revisions GROUP BY backing",
     "src_19_branch_sets": f"{M} SELECT proot, count(*) AS n_all, count(*) FILTER (WHERE NOT deleted) AS n_live, count(*) FILTER (WHERE deleted) AS n_deleted FROM branches GROUP BY 1",
     "snk_3_fold_actions": f"{M} SELECT proot, branch, arg_max(new, seq) AS current, any_value(last_old) AS previous, count(*) AS n_actions FROM (SELECT *, last_value(old) OVER (PARTITION BY proot, branch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_old FROM commands) GROUP BY 1, 2",
-    "snk_4_last_current": f"{M} SELECT proot, branch, arg_max(new, seq) AS last_set FROM commands WHERE k < 50 GROUP BY 1, 2",
+    "snk_4_last_current": f"{M} SELECT (seq - 1) // 100 AS txn, proot, branch, arg_max(new, seq) AS last_set FROM commands GROUP BY 1, 2, 3",
     "prj_1_attributes": f"{M}, {_W} SELECT proot, revid, 'k' AS attr, 1 AS type, CAST(k AS VARCHAR) AS val FROM w UNION ALL SELECT proot, revid, 'kind', 3, kind FROM w",
     "prj_2_as_list": f"{M}, {_W}, l AS (SELECT proot, revid, CASE WHEN k % 2 = 0 THEN list_sort(list_distinct([k % 5, k % 3])) WHEN k % 4 = 0 THEN [] ELSE [k] END AS v FROM w) SELECT proot, revid, CAST(len(v) AS BIGINT) AS n_values, array_to_string(v, ',') AS list FROM l",
     "prj_3_composites": f"{M}, {_R} SELECT DISTINCT proot, item, dst_item FROM refs WHERE type = 6",

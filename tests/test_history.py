@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from palimpsest.operators import history, recurse
@@ -71,6 +73,38 @@ def test_common_ancestor_prefers_parents(spark):
     assert got == {(3, 4): 2, (1, 3): 1}
 
 
+def first_common(up, a, b):
+    """Brute force: the ancestors of a, then a queue from b."""
+    known, todo = {a}, [a]
+    while todo:
+        for x in up[todo.pop()]:
+            if x not in known:
+                known.add(x)
+                todo.append(x)
+    queue, met = [b], {b}
+    for x in queue:
+        if x in known:
+            return x
+        queue += [y for y in up[x] if y not in met and not met.add(y)]
+    return None
+
+
+def test_common_ancestor_equals_a_queue(spark):
+    rng = random.Random(7)
+    lanes: list[list[int]] = [[0], [1], [2]]  # three logs without a common root, joined by merges now and then
+    up: dict[int, list[int]] = {0: [], 1: [], 2: []}
+    for x in range(3, 48):
+        own, other = rng.sample(lanes, 2)
+        up[x] = [own[-1]] + ([rng.choice(other)] if rng.random() < 0.12 else [])
+        own.append(x)
+    rows = [("p", x, u[0] if u else None, "m", u[1] if len(u) > 1 else None) for x, u in up.items()]
+    r = spark.createDataFrame(rows, "backing string, revid long, parent long, branch string, merge_parent long")
+    want = {(a, b): first_common(up, a, b) for a, b in [(rng.randrange(48), rng.randrange(48)) for _ in range(40)] + [(0, 1), (0, 47), (5, 5)]}
+    pairs = spark.createDataFrame([("p", *k) for k in want], "backing string, a long, b long")
+    assert {(x.a, x.b): x.ancestor for x in history.common_ancestor(r, pairs).collect()} == want
+    assert None in want.values() and history.common_ancestor(r, pairs.where("a < 0")).count() == 0
+
+
 def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([("p", 1, 2), ("p", 2, 3), ("p", 3, 1)], "backing string, src long, dst long")
     got = recurse.closure(edges, spark.createDataFrame([("p", 1)], "backing string, start long"))

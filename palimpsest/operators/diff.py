@@ -7,15 +7,16 @@ columns, item, attr, kind, type, val, vals, pos and len.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import sequences
 
 EDIT = ["item", "attr", "kind", "type", "val", "vals", "pos", "len"]
+LOAD = ("kind", "type", "val", "vals", "pos", "len")
 FAMILY = "case when kind = 'set' then 'set' when kind = 'delete' then 'delete' when kind like 'set_%' then 'elements' else 'sequence' end"
 
 
@@ -53,6 +54,30 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return whole.unionByName(parts).unionByName(sequence_edits(lists, on))
 
 
+def whole_values(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The plainest algorithm: each attribute that differs is set or deleted as a whole."""
+    on = [*keys, "item", "attr"]
+    side = lambda x, p: x.select(*on, F.struct("type", "val", "vals").alias(p))
+    both = side(a, "o").join(side(b, "n"), on, "full").join(b.select(*keys, "item").distinct(), [*keys, "item"], "left_semi").where("not (o <=> n)")
+    none = F.lit(None).cast("int")
+    return both.select(*on, F.when(F.col("n").isNull(), "delete").otherwise("set").alias("kind"), "n.type", "n.val", "n.vals", none.alias("pos"), none.alias("len"))
+
+
+Algorithm = Callable[[DataFrame, DataFrame, list[str]], DataFrame]
+
+
+def diff_by(a: DataFrame, b: DataFrame, keys: list[str], of_item: Column, algorithms: dict[str, Algorithm], default: str = "graph") -> DataFrame:
+    """Edits by the algorithm that ``of_item`` names for each item, with its name; a name that is not registered means the default."""
+    known = {default: diff, **algorithms}
+    name = F.when(of_item.isin(*known), of_item).otherwise(default)
+    out = None
+    for algorithm, run in known.items():
+        own = name == algorithm
+        edits = run(a.where(own), b.where(own), keys).withColumn("algorithm", F.lit(algorithm))
+        out = edits if out is None else out.unionByName(edits)
+    return out
+
+
 def sequence_edits(lists: DataFrame, on: list[str]) -> DataFrame:
     """Edits between the columns old and new of each row; Arrow batches, no shuffle."""
     kinds = dict(lists.dtypes)
@@ -108,7 +133,7 @@ def merged(*sides: tuple[str, DataFrame]) -> DataFrame:
 def conflicts(edits: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of edits of two sources on one attribute that exclude each other, with the class of conflict."""
     on = [*keys, "item", "attr"]
-    load = F.struct("kind", "type", "val", "vals", "pos", "len")
+    load = F.struct(*LOAD)
     x = edits.withColumn("family", F.expr(FAMILY)).select(*on, F.col("source").alias("source_a"), F.col("family").alias("fa"), load.alias("a"))
     y = edits.withColumn("family", F.expr(FAMILY)).select(*on, F.col("source").alias("source_b"), F.col("family").alias("fb"), load.alias("b"))
     both = x.join(y, on).where("source_a < source_b and a <> b")
@@ -117,6 +142,70 @@ def conflicts(edits: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("conflict", F.expr(kind)).where("conflict is not null")
 
 
+def conflict_sets(edits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item, attr, conflict_set, size, classes): conflicts that share an edit are one, so a conflict is a connected set of edits.
+
+    Edits of different attributes never meet, so a row gathers the conflicts of one attribute of one item. Sets of an attribute are numbered
+    from 0 by their first edit (by source, then place).
+    """
+    on = [*keys, "item", "attr"]
+    pairs = conflicts(edits, keys).select(*on, "conflict", F.struct("source_a", "a").alias("x"), F.struct("source_b", "b").alias("y"))
+    text = lambda e, source, load: F.to_json(F.struct(F.col(f"{e}.{source}"), F.coalesce(f"{e}.{load}.pos", F.lit(-1)), F.col(f"{e}.{load}")))
+    order = lambda e, source, load: F.concat_ws("/", F.col(f"{e}.{source}"), F.lpad(F.coalesce(f"{e}.{load}.pos", F.lit(0)).cast("string"), 10, "0"), text(e, source, load))
+    named = pairs.select(*on, "conflict", order("x", "source_a", "a").alias("x"), order("y", "source_b", "b").alias("y"))
+    kinds = dict(named.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in on) + ", conflict_set int, size long, classes string"
+
+    def sets(pairs: list) -> tuple[list[int], list[str]]:
+        up: dict[str, str] = {}
+
+        def top(e: str) -> str:
+            while up.setdefault(e, e) != e:
+                up[e] = e = up[up[e]]
+            return e
+
+        for p in pairs:
+            x, y = sorted((top(p["x"]), top(p["y"])))
+            up[y] = x
+        size: dict[str, int] = {}
+        classes: dict[str, set[str]] = {}
+        for e in sorted(up):
+            size[top(e)] = size.get(top(e), 0) + 1
+        for p in pairs:
+            classes.setdefault(top(p["x"]), set()).add(p["conflict"])
+        return list(size.values()), [",".join(sorted(classes[e])) for e in size]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, pairs in zip(b[on].itertuples(index=False), b["pairs"], strict=True):
+                rows += [(*key, n, size, classes) for n, (size, classes) in enumerate(zip(*sets(pairs), strict=True))]
+            yield pd.DataFrame(rows, columns=[*on, "conflict_set", "size", "classes"])
+
+    return named.groupBy(*on).agg(F.collect_list(F.struct("x", "y", "conflict")).alias("pairs")).mapInPandas(run, schema)
+
+
+def _conflicting(edits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item, attr, source, load) of the edits that stand in a conflict."""
+    on = [*keys, "item", "attr"]
+    pairs = conflicts(edits, keys)
+    sides = pairs.select(*on, F.col("source_a").alias("source"), F.col("a").alias("load")).unionByName(pairs.select(*on, F.col("source_b").alias("source"), F.col("b").alias("load")))
+    return sides.distinct()
+
+
+def without(edits: DataFrame, keys: list[str], removed: str) -> DataFrame:
+    """The edits that stay when those with ``removed`` go, with in_conflict and readded.
+
+    Conflicts that keep edits of one source only dissolve; an edit whose last conflict dissolves is ``readded`` to the plain edits.
+    """
+    named = [*keys, "item", "attr", "source", "load"]
+    left = edits.where(f"not coalesce({removed}, false)")
+    then = _conflicting(edits, keys).withColumn("was", F.lit(True))
+    now = _conflicting(left, keys).withColumn("is", F.lit(True))
+    out = left.withColumn("load", F.struct(*LOAD)).join(then, named, "left").join(now, named, "left").drop("load")
+    return out.withColumn("in_conflict", F.expr("`is` is not null")).withColumn("readded", F.expr("was is not null and `is` is null")).drop("was", "is")
+
+
 def inserted_twice(edits: DataFrame, keys: list[str]) -> DataFrame:
     """Children that more than one edit inserts, by key."""
     child = edits.where("kind in ('set_insert', 'seq_insert', 'seq_modify') or (kind = 'set' and type >= 16)")

@@ -76,10 +76,11 @@ def diff_6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_7(spark: SparkSession, d: str) -> DataFrame:
-    """Edits routed to an algorithm by the entity of their item (here by item number)."""
+    """Edits by the algorithm of their item's entity (here by item number): whole values, or the graph difference, which also serves unknown names."""
     base, _, theirs = sides(CommitLog(spark, d))
-    algo = F.when(F.col("item") % 4 == 0, "text").otherwise("graph")
-    return D.diff(base.where("attr <> 'log'"), theirs.where("attr <> 'log'"), K).groupBy("proot", algo.alias("algorithm")).agg(F.count("*").alias("n_edits"))
+    entity = F.when(F.col("item") % 4 == 0, "whole").when(F.col("item") % 4 == 1, "unheard of").otherwise("graph")
+    edits = D.diff_by(base.where("attr <> 'log'"), theirs.where("attr <> 'log'"), K, entity, {"whole": D.whole_values})
+    return edits.groupBy("proot", "algorithm").agg(F.count("*").alias("n_edits"))
 
 
 def diff_8(spark: SparkSession, d: str) -> DataFrame:
@@ -114,9 +115,15 @@ def mrg_4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mrg_5(spark: SparkSession, d: str) -> DataFrame:
-    """Conflicts as sets: all conflicting edits of an attribute belong together."""
+    """Conflicts as sets of edits: conflicts that share an edit are one."""
     e = _edits(CommitLog(spark, d))[1].where("attr <> 'log'")
-    return D.conflicts(e, K).groupBy(*K, "item", "attr").agg(F.count("*").alias("n_pairs"), F.array_join(F.array_sort(F.collect_set("conflict")), ",").alias("classes"))
+    return D.conflict_sets(e, K)
+
+
+def mrg_5_seq(spark: SparkSession, d: str) -> DataFrame:
+    """The same for ordered lists, where an attribute may have several sets of touching edits."""
+    e = _edits(CommitLog(spark, d))[1].where("attr = 'log'")
+    return D.conflict_sets(e, K).select(*K, "item", "conflict_set", "size")
 
 
 def mrg_6(spark: SparkSession, d: str) -> DataFrame:
@@ -132,10 +139,10 @@ def mrg_7(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mrg_8(spark: SparkSession, d: str) -> DataFrame:
-    """Without the other side's edits of k: which conflicts dissolve and which stay."""
+    """Without the other side's edits of k: edits left, those still in conflict, and those that a dissolved conflict gives back."""
     e = _edits(CommitLog(spark, d))[1].where("attr <> 'log'")
-    left = e.where("not (source = 'other' and attr = 'k')")
-    return D.conflicts(left, K).groupBy("attr", "conflict").agg(F.count("*").alias("n_pairs"))
+    left = D.without(e, K, "source = 'other' and attr = 'k'")
+    return left.groupBy("attr").agg(F.count("*").alias("n_edits"), F.count_if("in_conflict").alias("n_conflicting"), F.count_if("readded").alias("n_readded"))
 
 
 def mrg_9(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +226,7 @@ _PUT = "done AS (SELECT proot, branch, item, attr, b.type AS bt, b.val AS bv, r.
 
 QUERIES = {
     "diff_1_graph_diff": diff_1, "diff_2_unordered": diff_2, "diff_3_ordered": diff_3, "diff_4_scalar": diff_4, "diff_5_apply": diff_5, "diff_6_apply_sequence": diff_6, "diff_7_by_algorithm": diff_7, "diff_8_changed_rows": diff_8,
-    "mrg_1_union_of_edits": mrg_1, "mrg_2_by_algorithm": mrg_2, "mrg_3_conflict_classes": mrg_3, "mrg_3_sequence_conflicts": mrg_3_seq, "mrg_4_inserted_twice": mrg_4, "mrg_5_conflict_sets": mrg_5, "mrg_6_has_conflicts": mrg_6, "mrg_7_favour_source": mrg_7,
+    "mrg_1_union_of_edits": mrg_1, "mrg_2_by_algorithm": mrg_2, "mrg_3_conflict_classes": mrg_3, "mrg_3_sequence_conflicts": mrg_3_seq, "mrg_4_inserted_twice": mrg_4, "mrg_5_conflict_sets": mrg_5, "mrg_5_sequence_sets": mrg_5_seq, "mrg_6_has_conflicts": mrg_6, "mrg_7_favour_source": mrg_7,
     "mrg_8_remove_edits": mrg_8, "mrg_9_three_way": mrg_9, "mrg_10_selective_undo": mrg_10, "mrg_11_rebase": mrg_11, "cpy_1_copy_subgraph": cpy_1,
 }
 SQL = {
@@ -228,16 +235,19 @@ SQL = {
     "diff_4_scalar": f"{_B} SELECT proot, branch, item, attr, kind, val FROM eo WHERE attr IN ('k', 'kind')",
     "diff_5_apply": f"{_B} SELECT * FROM ao UNION ALL SELECT * FROM ab WHERE (proot, branch, item) NOT IN (SELECT proot, branch, item FROM ao)",
     "diff_6_apply_sequence": f"{_B} SELECT proot, branch, item, coalesce(m.vals, b.vals) AS vals FROM (SELECT * FROM ab WHERE attr = 'log') b FULL JOIN (SELECT * FROM am WHERE attr = 'log') m USING (proot, branch, item)",
-    "diff_7_by_algorithm": f"{_B} SELECT proot, CASE WHEN item % 4 = 0 THEN 'text' ELSE 'graph' END AS algorithm, count(*) AS n_edits FROM eo GROUP BY 1, 2",
+    "diff_7_by_algorithm": f"{_B} SELECT proot, 'graph' AS algorithm, count(*) AS n_edits FROM eo WHERE item % 4 <> 0 GROUP BY 1 UNION ALL "
+    "SELECT proot, 'whole', count(*) FROM eoj WHERE item % 4 = 0 AND (ot IS DISTINCT FROM type OR ov IS DISTINCT FROM val OR os IS DISTINCT FROM vals) GROUP BY 1",
     "diff_8_changed_rows": f"{_B} SELECT so.proot, so.branch, so.item FROM so LEFT JOIN sb USING (proot, branch, item) WHERE so.k IS DISTINCT FROM sb.k OR so.kind IS DISTINCT FROM sb.kind",
     "mrg_1_union_of_edits": f"{_E} SELECT proot, branch, source, count(*) AS n_edits FROM edits GROUP BY 1, 2, 3",
     "mrg_2_by_algorithm": f"{_E} SELECT proot, CASE WHEN item % 4 = 0 THEN 'text' ELSE 'graph' END AS algorithm, count(*) FILTER (WHERE source = 'self') AS n_self, count(*) FILTER (WHERE source = 'other') AS n_other FROM edits GROUP BY 1, 2",
     "mrg_3_conflict_classes": f"{_E} SELECT * FROM conf",
     "mrg_4_inserted_twice": f"{_E}, ch AS (SELECT proot, branch, unnest(string_split(coalesce(vals, val), ',')) AS child FROM edits WHERE attr = 'tags' AND kind IN ('set', 'set_insert')) SELECT proot, branch, child, count(*) AS n_edits FROM ch GROUP BY 1, 2, 3 HAVING count(*) > 1",
-    "mrg_5_conflict_sets": f"{_E} SELECT proot, branch, item, attr, count(*) AS n_pairs, string_agg(DISTINCT conflict, ',' ORDER BY conflict) AS classes FROM conf GROUP BY 1, 2, 3, 4",
+    "mrg_5_conflict_sets": f"{_E}, cf AS (SELECT DISTINCT proot, branch, item, attr, conflict FROM conf), cl AS (SELECT proot, branch, item, attr, string_agg(conflict, ',' ORDER BY conflict) AS classes FROM cf GROUP BY 1, 2, 3, 4) "
+    "SELECT e.proot, e.branch, e.item, e.attr, 0 AS conflict_set, count(*) AS size, any_value(cl.classes) AS classes FROM edits e JOIN cl USING (proot, branch, item, attr) GROUP BY 1, 2, 3, 4",
     "mrg_6_has_conflicts": f"{_E} SELECT DISTINCT proot, branch, (proot, branch) IN (SELECT proot, branch FROM conf) AS has_conflicts FROM edits",
     "mrg_7_favour_source": f"{_E} SELECT proot, branch, item, attr, source, kind, val, vals FROM resolved",
-    "mrg_8_remove_edits": f"{_E} SELECT attr, conflict, count(*) AS n_pairs FROM conf WHERE attr <> 'k' GROUP BY 1, 2",
+    "mrg_8_remove_edits": f"{_E}, lf AS (SELECT e.*, (proot, branch, item, attr) IN (SELECT proot, branch, item, attr FROM conf) AS was FROM edits e WHERE NOT (source = 'other' AND attr = 'k')) "
+    "SELECT attr, count(*) AS n_edits, count(*) FILTER (WHERE was AND attr <> 'k') AS n_conflicting, count(*) FILTER (WHERE was AND attr = 'k') AS n_readded FROM lf GROUP BY 1",
     "mrg_9_three_way": f"{_E}, {_PUT} SELECT proot, branch, item, attr, coalesce(rt, bt) AS type, CASE WHEN kind = 'set' THEN rv ELSE bv END AS val FROM done WHERE kind IS DISTINCT FROM 'delete'",
     "mrg_10_selective_undo": f"{M}, n0 AS (SELECT c.proot, c.branch, c.depth, r.item, r.k, r.branch AS kind FROM chain c JOIN revisions r ON r.backing = c.backing AND r.revid = c.revid JOIN branches b ON b.proot = c.proot AND b.branch = c.branch JOIN revisions h ON h.backing = b.backing AND h.revid = b.head WHERE h.parent IS NOT NULL), a AS (SELECT proot, branch, item, arg_min(k, depth) AS k, arg_min(kind, depth) AS kind FROM n0 GROUP BY 1, 2, 3), b AS (SELECT proot, branch, item, arg_min(k, depth) AS k, arg_min(kind, depth) AS kind FROM n0 WHERE depth > 0 GROUP BY 1, 2, 3), u AS (SELECT proot, branch, item, coalesce(b.k, a.k) AS k, coalesce(b.kind, a.kind) AS kind FROM a FULL JOIN b USING (proot, branch, item)) SELECT proot, branch, item, 'k' AS attr, CAST(k AS VARCHAR) AS val FROM u UNION ALL SELECT proot, branch, item, 'kind', kind FROM u",
     "cpy_1_copy_subgraph": f"{M}, st AS (SELECT c.proot, r.item, arg_min(r.k, c.depth) AS k FROM chain c JOIN proots p ON p.proot = c.proot AND p.current_branch = c.branch JOIN revisions r ON r.backing = c.backing AND r.revid = c.revid GROUP BY 1, 2), part AS (SELECT p.proot, r.item FROM proots p JOIN revisions r ON r.backing = p.backing AND r.revid = 0 UNION SELECT x.proot, (s.k * 3 + 1) % 20 FROM part x JOIN st s ON s.proot = x.proot AND s.item = x.item WHERE s.k % 3 = 0) SELECT st.proot, st.item, st.k, sha1(st.proot || '/' || st.item || '/copy') AS new_item FROM part JOIN st USING (proot, item)",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a table that a join may broadcast: packed integers take a few bits in files and a hundred bytes in the driver's hash table.
+BROADCAST = 256 << 10
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder only where it is unset and one machine does everything (tests)."""
@@ -21,8 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """No join planned meanwhile broadcasts a table of more than BROADCAST bytes, unless a hint says so."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    most = min(BROADCAST, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    try:
+        for k in keys:
+            spark.conf.set(k, str(most))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet and read back."""
+    """df written as Parquet and read back; what the driver broadcasts for it does not follow the input."""
     path = f"{shared_dir(df.sparkSession)}/palimpsest/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_broadcasts(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

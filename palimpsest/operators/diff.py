@@ -37,11 +37,16 @@ def long_form(state: DataFrame, keys: list[str]) -> DataFrame:
     return state.selectExpr(*keys, "item", f"inline(concat(array({rows}), {extra}))")
 
 
+def _items(b: DataFrame, keys: list[str]) -> DataFrame:
+    """The items of b. Neither they nor sides are broadcast (filters make inner joins of full ones): a few bits a row in files, a hundred bytes in the driver."""
+    return b.select(*keys, "item").distinct().hint("merge")
+
+
 def diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Edits that turn a into b, for the items of b (an item only in a is out of reach, not an edit)."""
     on = [*keys, "item", "attr"]
     side = lambda x, p: x.select(*on, F.struct("type", "val", "vals").alias(p))
-    both = side(a, "o").join(side(b, "n"), on, "full").join(b.select(*keys, "item").distinct(), [*keys, "item"], "left_semi")
+    both = side(a, "o").join(side(b, "n").hint("merge"), on, "full").join(_items(b, keys), [*keys, "item"], "left_semi")
     both = both.where(~F.col("o").eqNullSafe(F.col("n")))
     none = {"pos": F.lit(None).cast("int"), "len": F.lit(None).cast("int")}
     whole = both.where("n is null or o is null or o.type <> n.type or n.type < 16")
@@ -58,7 +63,7 @@ def whole_values(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """The plainest algorithm: each attribute that differs is set or deleted as a whole."""
     on = [*keys, "item", "attr"]
     side = lambda x, p: x.select(*on, F.struct("type", "val", "vals").alias(p))
-    both = side(a, "o").join(side(b, "n"), on, "full").join(b.select(*keys, "item").distinct(), [*keys, "item"], "left_semi").where("not (o <=> n)")
+    both = side(a, "o").join(side(b, "n").hint("merge"), on, "full").join(_items(b, keys), [*keys, "item"], "left_semi").where("not (o <=> n)")
     none = F.lit(None).cast("int")
     return both.select(*on, F.when(F.col("n").isNull(), "delete").otherwise("set").alias("kind"), "n.type", "n.val", "n.vals", none.alias("pos"), none.alias("len"))
 
@@ -105,7 +110,7 @@ def apply(a: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
         F.collect_set(F.when(F.col("kind") == "set_delete", F.col("val"))).alias("minus"),
         F.collect_list(F.when(F.col("kind").startswith("seq_"), F.struct("kind", "pos", "len", "vals"))).alias("seq"),
     )
-    both = a.join(e, on, "full").where("not coalesce(gone, false)")
+    both = a.join(e.hint("merge"), on, "full").where("not coalesce(gone, false)")
     kept = both.where("size(seq) = 0 or seq is null").selectExpr(
         *on, "coalesce(put.type, type, e_type) type", "if(put is null, val, put.val) val",
         "case when put is not null then put.vals when plus is null then vals else if(size(plus) + size(minus) = 0, vals, array_sort(array_union(array_except(vals, minus), plus))) end vals",

@@ -20,7 +20,7 @@ def sides(m: CommitLog) -> tuple[DataFrame, DataFrame, DataFrame]:
     trunk = m.proots.select("proot", F.col("current_branch").alias("t"))
     main = paths.join(trunk, (paths["proot"] == trunk["proot"]) & (paths["branch"] == F.col("t"))).select(paths["proot"], "revid")
     others = paths.join(trunk, "proot").where("branch <> t").select("proot", "branch", "backing", "revid")
-    meet = others.join(main, ["proot", "revid"]).groupBy("proot", "branch", "backing").agg(F.max("revid").alias("start"))
+    meet = stored(others.join(main, ["proot", "revid"]).groupBy("proot", "branch", "backing").agg(F.max("revid").alias("start")), "meet")
     w = m.revisions.select("backing", "revid", "item", "value", "k", F.col("branch").alias("kind"))
 
     def near(p: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def sides(m: CommitLog) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     states = stored(near(paths), "states")
     base = stored(near(paths.join(meet.select(*K, F.col("start").alias("s")), K).where("revid <= s")), "base")
-    mine = states.join(trunk.select("proot", F.col("t").alias("branch")), K).drop("branch").join(meet.select(*K), "proot").select(*K, "item", "k", "kind")
-    theirs = states.join(meet.select(*K), K, "left_semi")
+    mine = stored(states.join(trunk.select("proot", F.col("t").alias("branch")), K).drop("branch").join(meet.select(*K), "proot").select(*K, "item", "k", "kind"), "mine")
+    theirs = stored(states.join(meet.select(*K), K, "left_semi"), "theirs")
     return tuple(D.long_form(x, K) for x in (base, mine, theirs))
 
 

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from palimpsest.functions import storage
 from palimpsest.functions.transforms import COLOUR, RECT, Transformer, persisted, restored
 from palimpsest.operators import diff as D
 
@@ -90,3 +91,23 @@ def test_transformers(spark):
     assert restored(kept, {"c": COLOUR, "f": RECT}).orderBy("id").collect() == df.orderBy("id").collect()
     with pytest.raises(TypeError):
         persisted(df, {"c": Transformer(lambda c: c["r"], lambda c: c, "string", "int")})
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    # graphs of a few kilobytes, far below Spark's own limit of 10 MB
+    a = storage.stored(spark.range(200).selectExpr("id p", "0L item", "'log' attr", "33 type", "cast(null as string) val", "array(cast(id as string), '1') vals"), "a")
+    b = storage.stored(a.selectExpr("p", "item", "attr", "type", "val", "array('1', '2') vals"), "b")
+    out = D.apply(a, D.diff(a, b, ["p"]), ["p"])
+    assert {tuple(r.vals) for r in out.collect()} == {("1", "2")}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_tables_broadcast_little(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    a = spark.range(100_000).withColumnRenamed("id", "k")  # 800 kB
+    assert storage.stored(a.join(a.selectExpr("k", "k + 1 v"), "k"), "joined").count() == 100_000
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    assert "BroadcastHashJoin" not in [p for p in plans if "InsertIntoHadoopFs" in p][-1]
+    assert [spark.conf.get(k, None) for k in keys] == before

@@ -19,10 +19,11 @@ class is a connected component.
    split by map-side combining, and joins with leaders deal a bucket in lots of ``SPLIT``.
 4. *Remainder.*  What the links found so far leave is exact: in every bucket that holds
    several components of them, all members outside the largest one are compared with all others by
-   sketches and histograms, in blocks of ``BLOCK`` and four times as many.  A bucket that
+   lengths and histograms, in blocks of ``BLOCK`` and four times as many.  A bucket that
    would take more than ``COMPARED`` comparisons is split by a second sketch first (every
-   later one, since a linked pair shares about ten of twenty), and once more by a third;
-   buckets of one component end there.  Memory is bounded throughout.
+   later one, since a linked pair shares about ten of twenty), and once more by a third.
+   That only joins components: such buckets are then compared as a whole, where they still hold several.
+   Memory is bounded throughout.
 5. *Verification.*  The sum of the lesser counts of two histograms of distinct shingles bounds
    what any alignment of these can keep; pairs that this bound and the lengths allow are aligned on
    their texts inside the band that the similarity leaves.
@@ -48,8 +49,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm._kernels import ALNUM_WORD, FOLD, U64, Words, among, dropped, fresh, grams, mix, sequences, small_batches, stored, text_slices
 
 K, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 20, 3
-SPLIT, BLOCK, AGREE, DEPTH = 1000, 400, 2, 3
-#: Comparisons of sketches in one bucket, about a second's work, beyond which it is split by a further sketch.
+SPLIT, BLOCK, DEPTH = 1000, 400, 3
+#: Comparisons of sketches in one bucket, about a second's work, beyond which a further sketch joins components first.
 COMPARED = 1 << 22
 #: Bins of a histogram of shingles: at least BINS, about half as many as shingles, at most MAX_BINS; counts stop at FULL.
 BINS, MAX_BINS, FULL = 256, 4096, 255
@@ -263,7 +264,7 @@ def _grouped(hot: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group's two sides that are in different components and that lengths, sketches and histograms allow."""
+    """Pairs of a group's two sides that are in different components and that lengths and histograms allow."""
     for batch in batches:
         at, depths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for r in range(batch.num_rows):
@@ -282,7 +283,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = u[k : k + 4096], v[k : k + 4096]
                 same = sk[x] == sk[y]
                 # the bucket that the first sketches they share make up, and no other, yields the pair
-                near = (same.sum(1) >= AGREE) & ((same & before).sum(1) == depth)
+                near = (same & before).sum(1) == depth
                 x, y = x[near], y[near]
                 can = np.minimum(hist[x], hist[y]).sum(1) >= SIMILARITY / (1 + SIMILARITY) * (once[x] + once[y]) - 1e-6
                 found.append(np.stack([x[can], y[can]]))
@@ -303,10 +304,13 @@ def _compared(rows: DataFrame, depth: int) -> DataFrame:
     return groups.select("ms", "at", F.lit(depth).alias("depth")).mapInArrow(_meet, "a binary, b binary").selectExpr("least(a, b) a", "greatest(a, b) b")
 
 
-def _remainder(hot: DataFrame, reps: DataFrame, root: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """All pairs of members of one bucket that are in different components and may be linked, and the tables written on the way."""
+def _remainder(hot: DataFrame, reps: DataFrame, root: DataFrame, split: bool) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """All pairs of members of one bucket that are in different components and may be linked, and the tables written on the way.
+
+    With split, pairs in buckets of more than COMPARED comparisons are those of finer buckets only; the keys of such buckets, if any, come third.
+    """
     rows = _grouped(hot, root)
-    found, kept = [], []
+    found, kept, whole = [], [], None
     for depth in range(1, DEPTH + 1):
         per = rows.groupBy("key", "g").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.max_by("g", F.struct("m", "g")).alias("main"), F.max("m").alias("most"))
         mixed = _with(rows, per.where("most < size").selectExpr("key", "size members", "size as whole", "size - most minor", "main"), "key")
@@ -317,18 +321,20 @@ def _remainder(hot: DataFrame, reps: DataFrame, root: DataFrame) -> tuple[DataFr
             mixed = few.join(among(reps.select("c", "d", "sk", "hist"), few, "c"), "c").withColumn("at", F.expr("cast(array_position(sk, key) as int)"))
         mixed = stored(mixed, "mixed")
         kept.append(mixed)
-        large = f"minor * size > {COMPARED}" if depth < DEPTH else "false"
+        large = f"minor * size > {COMPARED}" if split and depth < DEPTH else "false"
         found.append(_compared(mixed.where(f"not ({large})"), depth))
         more = mixed.where(large)
-        if depth == DEPTH or more.isEmpty():
+        if not split or depth == DEPTH or more.isEmpty():
             break
+        if depth == 1:
+            whole = stored(more.selectExpr("key s").distinct(), "whole")
         rows = more.selectExpr("key", "c", "n", "d", "g", "sk", "hist", "at", f"posexplode(slice(sk, at + 1, {SKETCHES})) as (o, s)")
         rows = stored(rows.selectExpr("xxhash64(key, s) key", "c", "n", "d", "g", "sk", "hist", "at + o + 1 at"), "finer")
         rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct(), kept
+    return out.distinct(), kept, whole
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,11 +391,15 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = stored(member.groupBy("c").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.max("d").alias("d"), F.first("sk").alias("sk"), F.first("hist").alias("hist")), "representatives")
     hot = _buckets(reps)
     root = components(_verified(src, reps, _led(hot)))
-    pairs, kept = _remainder(hot, reps, root)
-    new = _verified(src, reps, pairs)
-    dropped(*kept)
-    if not new.isEmpty():
-        root = components(root.selectExpr("u a", "root b").unionByName(new))
+    left, split = hot, True
+    while left is not None:
+        pairs, kept, whole = _remainder(left, reps, root, split)
+        new = _verified(src, reps, pairs)
+        dropped(*kept)
+        if not new.isEmpty():
+            root = components(root.selectExpr("u a", "root b").unionByName(new))
+        # a pair met first in one of these buckets has been compared only where it shares three sketches
+        left, split = None if whole is None else hot.join(whole, "s", "left_semi"), False
     named = reps.join(root, reps.c == root.u, "left").selectExpr("c", "first", "coalesce(root, c) root")
     least = named.groupBy("root").agg(F.min("first").alias("top"))
     of = stored(named.join(least, "root").select("c", "top"), "named")

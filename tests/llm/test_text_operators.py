@@ -230,6 +230,23 @@ def test_neardup_splits_large_buckets(spark, monkeypatch):
     test_neardup_pairs_among_alike_texts(spark)
 
 
+@pytest.mark.parametrize("compared", [0, 1 << 22])
+def test_neardup_links_with_one_sketch_in_common(spark, monkeypatch, compared):
+    """A pair at 0.8 that shares one sketch of 20, whether its bucket counts as large or not; no leader helps."""
+    rng = random.Random(3)
+    for _ in range(566):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        at, _ = rng.sample(range(5, 44), 2)
+    b = a[:at] + ["x"] + a[at + 1 :]
+    t = docs(spark, [" ".join(a), " ".join(b)])
+    led = neardup._led
+    monkeypatch.setattr(neardup, "_led", lambda hot: led(hot).where("false"))
+    monkeypatch.setattr(neardup, "COMPARED", compared)
+    assert len({r.class_id for r in neardup.classes(t).collect()}) == 1
+    rows = next(neardup._sketches(iter(t.selectExpr("cast(doc_id as long) doc_id", "0L text_hash", "text").toArrow().combine_chunks().to_batches()))).column("sk").to_pylist()
+    assert sum(x == y for x, y in zip(*rows, strict=True)) == 1
+
+
 def test_histograms_bound_alignments():
     r = random.Random(6)
     for _ in range(200):

@@ -181,3 +181,22 @@ def test_pipeline(spark):
         assert 0 < out.count() <= docs.count()
     packed = corpus_pipeline.run(spark, small)
     assert packed.where("length > 2048 or length < 1").count() == 0 and packed.count() > 100
+
+
+def test_pipeline_drops_a_copy_with_one_sketch_in_common(spark, monkeypatch):
+    """A pair at 0.8 that shares one sketch of 20, in a bucket that counts as large; no leader helps."""
+    import random
+
+    import corpus_pipeline
+    from palimpsest.llm import neardup
+
+    rng = random.Random(3)
+    for _ in range(566):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        at, _ = rng.sample(range(5, 44), 2)
+    b = a[:at] + ["x"] + a[at + 1 :]
+    led = neardup._led
+    monkeypatch.setattr(neardup, "_led", lambda hot: led(hot).where("false"))
+    monkeypatch.setattr(neardup, "COMPARED", 0)
+    t = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, t, "").collect()] == [1]

@@ -10,6 +10,7 @@ another set of numbers.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -229,6 +230,13 @@ def among(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     return marked(rows, ", ".join(keys), wanted, ", ".join(keys))[0]
 
 
+def give_back() -> None:
+    """At the end of a Python task: what it has freed goes back to the system. Idle workers stay alive, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers get, where the session has the defaults (long texts make 10,000 rows too many).
 

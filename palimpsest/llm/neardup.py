@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._kernels import ALNUM_WORD, FOLD, U64, Words, among, dropped, fresh, grams, mix, sequences, small_batches, stored, text_slices
+from palimpsest.llm._kernels import ALNUM_WORD, FOLD, U64, Words, among, dropped, fresh, give_back, grams, mix, sequences, small_batches, stored, text_slices
 
 K, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 20, 3
 SPLIT, BLOCK, DEPTH = 1000, 400, 3
@@ -140,6 +140,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sk[d], hist[d] = row, x
         cols = [t.rows.column(0), t.rows.column(1), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), pa.array(once), pa.array(sk, pa.list_(pa.int64())), pa.array(hist, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "c", "n", "d", "sk", "hist"])
+    give_back()
 
 
 def align(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -225,6 +226,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sides.append([got[k] for k in of])
             ok = pa.array([similar(a, b) for a, b in zip(*sides, strict=True)], pa.bool_())
             yield part.select(["a", "b"]).filter(ok)
+    give_back()
 
 
 _BOUND = f"least(p.n, q.n) >= {SIMILARITY} * greatest(p.n, q.n) - 1e-9"
@@ -289,6 +291,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append(np.stack([x[can], y[can]]))
             x, y = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(x)), c.take(pa.array(y))], ["a", "b"])
+    give_back()
 
 
 def _compared(rows: DataFrame, depth: int) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm._kernels import give_back, small_batches, stored
+
 CAPACITY, OPEN_BINS, GROUP = 2048, 1024, 250_000
 #: Items arrive in lots of this size, the longest first: small ones then close the gaps that large ones leave.
 ARRIVALS = 2000
@@ -156,6 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     rows += [(i, k, s, min(capacity, n - s), zlib.crc32(raw[4 * s : 4 * min(n, s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES)
 
@@ -179,8 +182,6 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, open_bins: in
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenizes, cuts and packs documents; the pieces are written once, since their number sets the number of groups."""
-    from palimpsest.llm._kernels import small_batches, stored
-
     small_batches(docs.sparkSession)
     cut = stored(pieces(docs, tokenizer, capacity), "pieces")
     return pack(cut, cut.count(), capacity)

@@ -21,6 +21,7 @@ pass through, one output row per input row; with no usable label every score is
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._kernels import U64, mix, place_keys, small_batches, text_slices
+from palimpsest.llm._kernels import U64, give_back, mix, place_keys, small_batches, text_slices
 
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 20, 8, 40, (3, 4, 5)
 MAX_POSITIVE, MAX_NEGATIVE = 1600, 2400
@@ -91,7 +92,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(places), first_win
 
 
-def _by_length(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
+def _by_length(texts: list[str], limit: int = 1 << 17) -> Iterator[list[str]]:
     part, n = [], 0
     for t in texts:
         part.append(t)
@@ -113,21 +114,24 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     out = np.zeros((2, DIM), np.float32)
     out[1] = rng.uniform(-0.1, 0.1, DIM)
     bias = np.zeros(2)
-    parts, sizes, begin = [], [], 0
+    sizes, begin = [], 0
     offset = [0]
     texts_with = np.zeros(BUCKETS, np.int32)
+    kept = tempfile.TemporaryFile()  # noqa: SIM115 (has no name; the features are some ten times the texts, too many for memory)
     for some in _by_length(texts):
         b, p, fw = features(some)
         order = np.argsort(p, kind="stable")
-        parts.append(b[order].astype(np.int32))
+        b[order].astype(np.int32).tofile(kept)
         sizes.append(np.bincount(p, minlength=int(fw[-1])))
         of = np.repeat(np.arange(len(some)), np.diff(fw))[p]
-        texts_with += np.bincount(np.unique(of * BUCKETS + b) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        np.add.at(texts_with, np.unique(of * BUCKETS + b) % BUCKETS, 1)
         offset.extend(fw[1:] + begin)
         begin += int(fw[-1])
-    feat, size = np.concatenate(parts), np.concatenate(sizes)
-    del parts
+    size = np.concatenate(sizes)
     edge = np.concatenate([[0], np.cumsum(size)])
+    kept.flush()
+    feat = np.asarray(np.memmap(kept, np.int32, "r")) if edge[-1] else np.empty(0, np.int32)
+    kept.close()  # the mapping stays
     offset = np.array(offset)
     docs = np.repeat(np.arange(len(texts)), np.diff(offset))
     epochs = min(150, max(16, STEPS // len(texts)))
@@ -138,7 +142,8 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
         logit = np.zeros(len(size))
         for w in range(0, len(size), 4096):  # some windows at a time: memory stays bounded
             v = min(len(size), w + 4096)
-            sums = np.concatenate([[0.0], np.cumsum(per[feat[edge[w] : edge[v]]], dtype=np.float64)])
+            sums = np.zeros(edge[v] - edge[w] + 1)
+            np.cumsum(per[feat[edge[w] : edge[v]]], dtype=np.float64, out=sums[1:])
             logit[w:v] = (sums[edge[w + 1 : v + 1] - edge[w]] - sums[edge[w:v] - edge[w]]) / np.maximum(size[w:v], PAD)
         noise = 0.0 if epoch else rng.random(len(logit)) * 1e-3
         best = np.full(len(texts), -np.inf)
@@ -204,6 +209,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for k, r in enumerate(rows) if not k or rows[k - 1][0] != r[0]]
     weight, bias = train([r[1] for r in rows], np.array([r[2] for r in rows], np.float64))
     yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["weight", "bias"])
+    del rows, weight
+    give_back()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -223,6 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for t in text_slices(batches, 1 << 19):
             texts = [x or "" for x in t.rows.column(t.rows.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*t.rows.columns, pa.array(scores(texts, weight, bias))], [*t.rows.schema.names, "score"])
+        give_back()
 
     src = docs.select(*keep)
     return src.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in src.dtypes) + ", score double")

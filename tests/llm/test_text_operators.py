@@ -530,6 +530,29 @@ def test_toxicity_held_out(spark):
     assert sum(right) / len(right) > 0.95
 
 
+def test_training_keeps_features_out_of_memory(monkeypatch):
+    """The features of all texts at once would take some ten times the texts; how the texts are cut into slices changes nothing."""
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts = [" ".join(r.choices(words, k=3000)) for _ in range(240)]
+    toxic = np.arange(len(texts)) % 3 == 0
+    tracemalloc.start()
+    toxicity.train(texts, toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6
+    some, labels = texts[:20], toxic[:20]
+    weight, bias = toxicity.train(some, labels)
+    monkeypatch.setattr(toxicity, "_by_length", lambda t: [[x] for x in t])
+    again, shift = toxicity.train(some, labels)
+    assert bias == shift and (weight == again).all() and weight.any()
+    none, _ = toxicity.train(["", " "], np.array([0, 1]))
+    assert not none.any()
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = toxicity.score_toxicity(odd(spark), labels)
